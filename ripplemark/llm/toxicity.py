@@ -38,6 +38,7 @@ _WORD = re.compile(r"\w+")
 _P = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 _CACHE_WORDS = 400_000
+_WORDS = 20_000
 _CHUNK_CHARS = 1 << 20
 
 
@@ -142,29 +143,36 @@ def window_maxima(scores: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.maximum.reduceat(mean, starts)
 
 
-def fit(texts: list[str], labels: list[int], seed: int = 7, rounds: int = 4) -> Model:
-    """Train on labelled texts. The order of the rows decides nothing but the random draws.
+def fit(texts: list[str], labels: list[int], seed: int = 7, rounds: int = 4, clean_weight: float = 1.0) -> Model:
+    """Train on labelled texts; a fifth of them is held out and sets the threshold.
+
+    ``clean_weight`` says how many clean documents each clean one of the sample stands for, per toxic one.
 
     Texts without words are left out. With only one class among the labels nothing can be learned: the
     model then scores every text as that class's rate would (threshold above 1 for none toxic).
     """
     rng = np.random.default_rng(seed)
-    docs = [tokens(t) if t else [] for t in texts]
-    keep = [i for i, d in enumerate(docs) if d]
-    docs, y = [docs[i] for i in keep], np.array([int(labels[i]) for i in keep], np.int64)
+    index: dict[str, int] = {}
+    docs, keep = [], []  # word numbers of each text that has words; the words themselves are kept once
+    for i, text in enumerate(texts):
+        words = tokens(text) if text else []
+        if words:
+            docs.append(np.fromiter((index.setdefault(w, len(index)) for w in words), np.int32, len(words)))
+            keep.append(i)
+    y = np.array([int(labels[i]) for i in keep], np.int64)
     if len(set(y.tolist())) < 2:
         only = bool(len(y) and y[0])
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0 if only else 2.0)
-    index: dict[str, int] = {}
-    for d in docs:
-        for w in d:
-            index.setdefault(w, len(index))
-    feats, counts = subwords(list(index))
+    vocabulary = list(index)
+    parts = [subwords(vocabulary[s : s + _WORDS]) for s in range(0, len(vocabulary), _WORDS)]
+    feats, counts = (np.concatenate(x) for x in zip(*parts))
+    del index, vocabulary, parts
     begins = np.cumsum(counts) - counts
     lens = np.array([len(d) for d in docs], np.int64)
-    flat = np.fromiter((index[w] for d in docs for w in d), np.int64, int(lens.sum()))
+    flat = np.concatenate(docs)
+    del docs
     base = np.cumsum(lens) - lens
-    held = rng.random(len(docs)) < 0.2
+    held = rng.random(len(y)) < 0.2
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
         held[:] = False
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
@@ -258,17 +266,17 @@ def fit(texts: list[str], labels: list[int], seed: int = 7, rounds: int = 4) ->
         for _ in range(2):
             train(np.array(spans), np.array(target), 0.15)
     model = folded()
-    rows = np.flatnonzero(held) if held.any() else np.arange(len(docs))
+    rows = np.flatnonzero(held) if held.any() else np.arange(len(y))
     number = word_numbers(model)
     best = np.array([window_maxima(number[base[d] : base[d] + lens[d]], lens[d : d + 1])[0] for d in rows]) + model.bias
-    return Model(model.weights, model.bias, _threshold(1 / (1 + np.exp(-np.clip(best, -60, 60))), y[rows]))
+    return Model(model.weights, model.bias, _threshold(1 / (1 + np.exp(-np.clip(best, -60, 60))), y[rows], clean_weight))
 
 
-def _threshold(score: np.ndarray, y: np.ndarray) -> float:
+def _threshold(score: np.ndarray, y: np.ndarray, clean_weight: float) -> float:
     """The middle of the gap between scores at which F1 is highest, but not under 0.5, where clean is the likelier."""
     order = np.argsort(-score, kind="stable")
     hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    f1 = 2 * hits / (hits + clean_weight * np.cumsum(1 - y[order]) + y.sum())
     i = int(f1.argmax())
     below = score[order[i + 1]] if i + 1 < len(order) else 0.0
     return max(0.5, float((score[order[i]] + below) / 2))
@@ -295,7 +303,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = sample_labels(labels, id_col, label_col, per_class)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     rows = texts.join(F.broadcast(sample), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y")).toArrow().sort_by("id")
-    return fit(rows["text"].to_pylist(), rows["y"].to_pylist())
+    y = rows["y"].to_pylist()
+    classes = labels.agg(*[F.count(F.when(F.col(label_col) == c, 1)).alias(f"n{c}") for c in (0, 1)]).first()
+    weight = classes["n0"] / max(1, y.count(0)) * y.count(1) / max(1, classes["n1"])
+    return fit(rows["text"].to_pylist(), y, clean_weight=weight)
 
 
 def score_column(spark, text: Column, model: Model) -> Column:
