@@ -3,11 +3,13 @@
 A text's fingerprint has ``BITS`` bits. Each distinct lower-case word votes on every bit with weight
 min(length, 10) - 1 (1 at least), so long, rare words count more than particles; no corpus statistics are needed.
 
-Search: each of ``TABLES`` tables samples its own bit positions. Texts that agree on the sampled bits of a
+Search: each of several tables samples its own bit positions. Texts that agree on the sampled bits of a
 table share a bucket; the number of bits follows the number of distinct fingerprints so that a bucket of
-unrelated texts has about ``BUCKET`` members at any size of the corpus. A bucket of over ``CAP`` is split by
-additional bits of the same table. Every pair within a bucket is then verified: the Hamming distance of the
-whole fingerprints must be ``MAX_DISTANCE`` at most. Equal fingerprints are joined before the search (distance 0, exact).
+unrelated texts has about ``BUCKET`` members at any size of the corpus, and the number of tables follows the bits so
+that even a pair at the greatest distance shares a bucket of some table with a chance of ``RECALL``. A bucket of over
+``CAP`` is split by additional bits of the same table. Every pair within a bucket is then verified: the Hamming
+distance of the whole fingerprints must be ``MAX_DISTANCE`` at most. Equal fingerprints are joined before the
+search (distance 0, exact).
 """
 
 from __future__ import annotations
@@ -28,10 +30,10 @@ from .shared import fresh, materialize
 
 BITS = 256
 LONGS = BITS // 64
-TABLES = 20
-BUCKET = 64
-CAP = 1024
-MAX_DISTANCE = 51
+RECALL = 0.9
+BUCKET = 512
+CAP = 4096
+MAX_DISTANCE = 46
 SEED = 20_011
 _WORD = re.compile(r"\w+")
 _CHUNK = 1 << 13
@@ -80,6 +82,12 @@ def base_bits(n: int, bucket: int = BUCKET) -> int:
     return max(0, min(48, math.ceil(math.log2(max(1, n / bucket)))))
 
 
+def table_count(bits: int, distance: int, recall: float = RECALL) -> int:
+    """Tables that a pair at ``distance`` needs to agree on all ``bits`` sampled bits of one of them with that chance."""
+    agree = (1 - distance / BITS) ** bits
+    return 1 if agree >= recall else math.ceil(math.log(1 - recall) / math.log(1 - agree))
+
+
 def _orders(tables: int, seed: int) -> np.ndarray:
     """Each table's own order of all bit positions; its first bits are the base sample, the next the additional ones."""
     return np.array([np.random.default_rng([seed, t]).permutation(BITS) for t in range(tables)])
@@ -110,13 +118,9 @@ def _keyed(fps: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
     return fps.select("id", "fp").mapInArrow(spread, "bucket bigint, id bigint, fp binary")
 
 
-_POP = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
-
-
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    if hasattr(np, "bitwise_count"):
-        return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32)
-    return _POP[(a ^ b).view(np.uint16)].sum(axis=-1, dtype=np.int32)
+    # Unsigned: for signed numbers bitwise_count counts the bits of the absolute value.
+    return np.bitwise_count((a ^ b).view(np.uint64)).sum(axis=-1, dtype=np.int32)
 
 
 def split(raw: np.ndarray, order: np.ndarray, cap: int) -> list[np.ndarray]:
@@ -194,34 +198,34 @@ def _verified(fps: DataFrame, distance: int, tables: int, bits: int, cap: int, s
     return buckets.where(F.size("ids") > 1).mapInArrow(verify, "u bigint, v bigint, distance int").distinct()
 
 
-def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = MAX_DISTANCE, tables: int = TABLES, bucket: int = BUCKET, cap: int = CAP, seed: int = SEED) -> DataFrame:
+def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = MAX_DISTANCE, recall: float = RECALL, bucket: int = BUCKET, cap: int = CAP, seed: int = SEED) -> DataFrame:
     """``(a, b, distance)`` with a < b: pairs of ids whose fingerprints differ in ``distance`` bits at most.
 
     Every row is a query. Pairs of equal fingerprints are all found, the rest with the recall of the sampling
-    (over 0.9 on near copies). Null ids, null texts and texts without words have no partner; rows that repeat
+    (0.9 at the greatest distance, more below). Null ids, null texts and texts without words have no partner; rows that repeat
     an id count once (the least fingerprint); an empty table gives no pair; other columns aren't read.
     """
     fps = fingerprints(docs, [docs[id_col].cast("bigint").alias("doc")], text_col).where("doc is not null and fp is not null")
     fps = materialize(fps.groupBy("doc").agg(F.min("fp").alias("fp")), "fingerprints")
     alike = fps.groupBy("fp").agg(F.min("doc").alias("id"))
     bits = base_bits(alike.count(), bucket)
-    found = _verified(alike.select("id", "fp"), distance, tables, bits, cap, seed, forest=False)
+    found = _verified(alike.select("id", "fp"), distance, table_count(bits, distance, recall), bits, cap, seed, forest=False)
     of = fps.join(alike, "fp").select("doc", "id")
     zero = alike.select(F.col("id").alias("u"), F.col("id").alias("v"), F.lit(0).alias("distance"))
     pairs = found.unionByName(zero).join(of.select(F.col("doc").alias("x"), F.col("id").alias("u")), "u").join(of.select(F.col("doc").alias("y"), F.col("id").alias("v")), "v")
     return pairs.where("u <> v or x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance").distinct()
 
 
-def _grouped(fps: DataFrame, tables: int, bucket: int, cap: int, seed: int, distance: int) -> DataFrame:
+def _grouped(fps: DataFrame, recall: float, bucket: int, cap: int, seed: int, distance: int) -> DataFrame:
     """``fps(row, fp, ...)`` with ``grp``: the least row of its group (its own row where it has no fingerprint)."""
     alike = materialize(fps.where("fp is not null").groupBy("fp").agg(F.min("row").alias("id")), "distinct")
     bits = base_bits(alike.count(), bucket)
-    roots = connected_components(_verified(alike.select("id", "fp"), distance, tables, bits, cap, seed, forest=True).select("u", "v"))
+    roots = connected_components(_verified(alike.select("id", "fp"), distance, table_count(bits, distance, recall), bits, cap, seed, forest=True).select("u", "v"))
     named = alike.join(roots, alike["id"] == roots["node"], "left").select("fp", F.coalesce("root", "id").alias("grp"))
     return fps.join(named, "fp", "left").withColumn("grp", F.coalesce("grp", "row"))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = MAX_DISTANCE, tables: int = TABLES, bucket: int = BUCKET, cap: int = CAP, seed: int = SEED) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = MAX_DISTANCE, recall: float = RECALL, bucket: int = BUCKET, cap: int = CAP, seed: int = SEED) -> DataFrame:
     """One row per document: its id, ``group_id`` (the least id of its group) and ``keep`` (true on one row of each group).
 
     Groups are the connected components of the verified pairs. Null texts and texts without words are
@@ -229,14 +233,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null ids are grouped under null with ``keep`` true. An empty table gives an empty result.
     """
     fps = materialize(fingerprints(docs, [docs[id_col].cast("bigint").alias("row")], text_col), "fingerprints")
-    out = _grouped(fps.where("row is not null"), tables, bucket, cap, seed, distance)
+    out = _grouped(fps.where("row is not null"), recall, bucket, cap, seed, distance)
     first = Window.partitionBy("grp").orderBy("row", "fp")
     out = out.select(F.col("row").alias(id_col), F.col("grp").alias("group_id"), (F.row_number().over(first) == 1).alias("keep"))
     none = fps.where("row is null").select(F.col("row").alias(id_col), F.col("row").alias("group_id"), F.lit(True).alias("keep"))
     return out.unionByName(none)
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = MAX_DISTANCE, tables: int = TABLES, bucket: int = BUCKET, cap: int = CAP, seed: int = SEED) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = MAX_DISTANCE, recall: float = RECALL, bucket: int = BUCKET, cap: int = CAP, seed: int = SEED) -> DataFrame:
     """``docs`` with one document of each group: the least id, of rows that repeat it the one with the least content hash.
 
     All columns stay and no other comes. Rows with a null id, a null text or a text without words all stay.
@@ -247,7 +251,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     key = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
     marked = docs.withColumns({row: key(ident), mark: F.xxhash64(text)})
     fps = materialize(fingerprints(docs, [ident.alias("row"), F.xxhash64(text).alias("mark")], text_col), "fingerprints")
-    grouped = _grouped(fps.where("row is not null and fp is not null"), tables, bucket, cap, seed, distance)
+    grouped = _grouped(fps.where("row is not null and fp is not null"), recall, bucket, cap, seed, distance)
     kept = grouped.groupBy("grp").agg(F.min(F.struct("row", "mark")).alias("k")).select(key(F.col("k.row")).alias(row), F.col("k.mark").alias(mark))
     alone = fps.where("row is null or fp is null").select(key(F.col("row")).alias(row), F.col("mark").alias(mark)).distinct()
     chosen = kept.withColumn(n, F.lit(True)).unionByName(alone.withColumn(n, F.lit(False)))
