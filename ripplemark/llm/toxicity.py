@@ -143,7 +143,7 @@ def window_maxima(scores: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.maximum.reduceat(mean, starts)
 
 
-def fit(texts: list[str], labels: list[int], seed: int = 7, rounds: int = 4, clean_weight: float = 1.0) -> Model:
+def fit(texts: list[str], labels: list[int], seed: int = 7, rounds: int = 8, clean_weight: float = 1.0) -> Model:
     """Train on labelled texts; a fifth of them is held out and sets the threshold.
 
     ``clean_weight`` says how many clean documents each clean one of the sample stands for, per toxic one.
