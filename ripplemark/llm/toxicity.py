@@ -18,7 +18,7 @@ per bucket (1 MB at 2**18 buckets, whatever the corpus); scoring adds up cached
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -143,7 +143,7 @@ def window_maxima(scores: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.maximum.reduceat(mean, starts)
 
 
-def fit(texts: list[str], labels: list[int], seed: int = 7, rounds: int = 8, clean_weight: float = 1.0) -> Model:
+def fit(texts: Iterable[str | None], labels: list[int], seed: int = 7, rounds: int = 8, clean_weight: float = 1.0) -> Model:
     """Train on labelled texts; a fifth of them is held out and sets the threshold.
 
     ``clean_weight`` says how many clean documents each clean one of the sample stands for, per toxic one.
@@ -219,7 +219,12 @@ def fit(texts: list[str], labels: list[int], seed: int = 7, rounds: int = 8, cle
         return Model(emb @ (head[:, 1] - head[:, 0]), float(bias[1] - bias[0]), 0.5)
 
     def word_numbers(model: Model) -> np.ndarray:
-        return (np.add.reduceat(model.weights[feats].astype(np.float64), begins) / counts)[flat]
+        total = np.empty(len(begins))
+        for s in range(0, len(begins), _WORDS):
+            own = begins[s : s + _WORDS]
+            part = feats[own[0] : own[-1] + counts[s + len(own) - 1]]
+            total[s : s + _WORDS] = np.add.reduceat(model.weights[part].astype(np.float64), own - own[0])
+        return (total / counts)[flat]
 
     def window(doc: int, at: int) -> tuple[int, int]:
         start = base[doc] + max(0, min(at, lens[doc] - WINDOW))
@@ -306,7 +311,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     y = rows["y"].to_pylist()
     classes = labels.agg(*[F.count(F.when(F.col(label_col) == c, 1)).alias(f"n{c}") for c in (0, 1)]).first()
     weight = classes["n0"] / max(1, y.count(0)) * y.count(1) / max(1, classes["n1"])
-    return fit(rows["text"].to_pylist(), y, clean_weight=weight)
+    # One text at a time becomes a Python string.
+    return fit((t.as_py() for t in rows["text"]), y, clean_weight=weight)
 
 
 def score_column(spark, text: Column, model: Model) -> Column:
