@@ -3,7 +3,8 @@
 A vector is cut into segments; with segment means m, deviations s and length l, the squared distance of two vectors is at
 least the sum over segments of l * ((m1 - m2)**2 + (s1 - s2)**2). That bound is itself a squared distance between vectors
 of 2 numbers a segment, so a whole block of bounds is one matrix product. Bounds go coarse to fine: pairs whose
-bound at one resolution exceeds the query's k-th best distance so far drop out, and only survivors get an exact distance.
+bound at one resolution exceeds the query's k-th best distance so far drop out, and only survivors get an exact distance
+(the last bound before it is the distance itself in single precision, less its rounding error).
 
 Queries and candidates are blocks of rows. Every block of queries meets all candidate blocks in one task, which
 reads them one after another and keeps only the best k of each query, so memory doesn't grow with the table.
@@ -25,6 +26,8 @@ BLOCK = 4096
 LEVELS = (4, 16)
 _ROWS = 256
 _PAIRS = 1 << 15
+#: A share of surviving pairs above which the next level is computed for all pairs of a block of rows.
+_MANY = 0.002
 
 
 def statistics(x: np.ndarray, segments: int) -> np.ndarray:
@@ -58,42 +61,78 @@ class Best:
         self.id[at[keep], rank[keep]] = who[order][keep]
 
 
+class Bounds:
+    """Lower bounds of squared distances between rows of ``q`` and of ``c``: a matrix product in single precision.
+
+    Its rounding error is at most a share of the two squared norms; taking that off leaves a bound. What overflows
+    is NaN and bounds nothing.
+    """
+
+    def __init__(self, q: np.ndarray, c: np.ndarray):
+        share = 1 - 4e-7 * (q.shape[1] + 8)
+        self.q, self.c = q.astype(np.float32), c.astype(np.float32)
+        self.q2, self.c2 = ((share * (x**2).sum(1)).astype(np.float32) for x in (q, c))
+
+    def of(self, rows: slice) -> np.ndarray:
+        out = self.q[rows] @ self.c.T
+        out *= -2
+        out += self.c2
+        out += self.q2[rows, None]
+        return out
+
+
 def search(q: np.ndarray, c: np.ndarray, ids: np.ndarray, best: Best, own: bool, levels: tuple[int, ...] = LEVELS) -> int:
     """Let the candidates ``c`` (with ``ids``) compete for each query; returns how many exact distances it took.
 
     ``own``: the candidates are the queries themselves, and no row is its own neighbour.
     """
-    stats = [(statistics(q, m), statistics(c, m)) for m in levels]
-    exact = 0
-    slack = 1e-9 * (1 + float((q**2).sum(1).max(initial=0)) + float((c**2).sum(1).max(initial=0)))
-    norms = (stats[0][1] ** 2).sum(1)
-    for s in range(0, len(q), _ROWS):
-        part = slice(s, min(s + _ROWS, len(q)))
-        a = stats[0][0][part]
-        bound = norms - 2 * (a @ stats[0][1].T) + (a**2).sum(1)[:, None]
-        if own:
-            bound[np.arange(len(a)), np.arange(part.start, part.stop)] = np.inf
-        if not np.isfinite(best.d[part, -1]).all() and len(c) > best.k:
-            # Exact distances of the likeliest few set the first thresholds.
-            i = np.repeat(np.arange(len(a)), best.k)
-            j = np.argpartition(bound, best.k - 1, axis=1)[:, : best.k].ravel()
-            fine = np.isfinite(bound[i, j])
-            i, j = i[fine], j[fine]
-            best.add(i + s, ((q[i + s] - c[j]) ** 2).sum(1), ids[j])
-            bound[i, j] = np.inf
-            exact += len(i)
-        i, j = np.nonzero(bound <= best.d[part, -1][:, None] + slack)
-        fine = np.isfinite(bound[i, j])
-        i, j = i[fine] + s, j[fine]
-        # Closest bounds first, so that thresholds fall before most pairs are looked at.
-        order = np.argsort(bound[i - s, j], kind="stable")
-        i, j = i[order], j[order]
-        for p in range(0, len(i), _PAIRS):
-            x, y = i[p : p + _PAIRS], j[p : p + _PAIRS]
-            for a, b in stats[1:]:
-                near = ((a[x] - b[y]) ** 2).sum(1) <= best.d[x, -1] + slack
-                x, y = x[near], y[near]
-            if len(x):
+    with np.errstate(over="ignore", invalid="ignore"):
+        stats = [Bounds(statistics(q, m), statistics(c, m)) for m in levels]
+        whole = None
+        exact = 0
+        for s in range(0, len(q), _ROWS):
+            part = slice(s, min(s + _ROWS, len(q)))
+            bound = stats[0].of(part)
+            if own:
+                bound[np.arange(len(bound)), np.arange(part.start, part.stop)] = np.inf
+            done = None
+            if not np.isfinite(best.d[part, -1]).all() and len(c) > best.k:
+                # Exact distances of the likeliest few set the first thresholds.
+                i = np.repeat(np.arange(len(bound)), best.k)
+                j = np.argpartition(np.nan_to_num(bound, nan=0.0), best.k - 1, axis=1)[:, : best.k].ravel()
+                fine = bound[i, j] < np.inf
+                i, j = i[fine], j[fine]
+                best.add(i + s, ((q[i + s] - c[j]) ** 2).sum(1), ids[j])
+                exact += len(i)
+                done = (i, j)
+            left = ~(bound > best.d[part, -1:])
+            if own:
+                left[np.arange(len(bound)), np.arange(part.start, part.stop)] = False
+            if done:
+                left[done] = False
+            # Coarse to fine; a level takes one more product for all pairs of these rows while many survive.
+            for finer in stats[1:]:
+                if left.sum() > left.size * _MANY:
+                    left &= ~(finer.of(part) > best.d[part, -1:])
+            if left.sum() > left.size * _MANY:
+                whole = whole or Bounds(q, c)
+                near = whole.of(part)
+                left &= ~(near > best.d[part, -1:])
+                if left.sum() > 4 * best.k * len(left):
+                    # The k closest of these rows first, so that the others meet the final thresholds.
+                    near[~left] = np.inf
+                    i = np.repeat(np.arange(len(near)), best.k)
+                    j = np.argpartition(np.nan_to_num(near, nan=0.0), best.k - 1, axis=1)[:, : best.k].ravel()
+                    fine = left[i, j]
+                    i, j = i[fine], j[fine]
+                    best.add(i + s, ((q[i + s] - c[j]) ** 2).sum(1), ids[j])
+                    exact += len(i)
+                    left[i, j] = False
+                    left &= ~(near > best.d[part, -1:])
+            i, j = np.nonzero(left)
+            i = i + s
+            for p in range(0, len(i), _PAIRS):
+                x, y = i[p : p + _PAIRS], j[p : p + _PAIRS]
                 d = ((q[x] - c[y]) ** 2).sum(1)
                 exact += len(x)
                 near = d <= best.d[x, -1]
