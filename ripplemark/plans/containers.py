@@ -38,7 +38,8 @@ def page_containers(pages: DataFrame) -> DataFrame:
 
 def _made(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = materialize(container.chunks_of(page_containers(read(spark, sf_dir, "pages"))), "chunks")
-    return extract.artifacts(chunks, materialize(extract.members(chunks), "members"))
+    known = extract.structure(chunks)
+    return extract.artifacts(chunks, materialize(extract.members(chunks, known), "members"), known=known)
 
 
 def container_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
@@ -22,6 +23,7 @@ from ..operators.dedup import first_wins, last_wins
 from ..operators.lookup import Step, fallback_chain, scored_match
 from ..operators.stats import first_reason, outcome_buckets
 from ..sources import records, tags
+from ..storage import materialize
 
 MAX_SLOTS = 32768
 PARENTS = {
@@ -136,6 +138,22 @@ def cast_order(chunks: DataFrame, keys: DataFrame, refs: DataFrame) -> DataFrame
     return found.where((F.col("member") > 0) & (F.col("member") < MAX_SLOTS)).select("path", "slot", F.col("member").alias("id"))
 
 
+@dataclass(frozen=True)
+class Structure:
+    """The structural records of all files. They are small beside the payloads and every later step needs them, so they are written once."""
+
+    keys: DataFrame
+    refs: DataFrame
+    order: DataFrame
+    movies: DataFrame
+
+
+def structure(chunks: DataFrame) -> Structure:
+    keys = materialize(key_entries(chunks), "keys")
+    refs = materialize(script_refs(chunks, keys), "refs")
+    return Structure(keys, refs, materialize(cast_order(chunks, keys, refs), "order"), materialize(movies(chunks), "movies"))
+
+
 def _lookup(table: dict[int, tuple], kind: str) -> Column:
     return F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(v) if not isinstance(v, tuple) else F.array(*[F.lit(t) for t in v]))]).cast(kind)
 
@@ -160,15 +178,14 @@ def latest(chunks: DataFrame) -> DataFrame:
     return last_wins(chunks.where("id is not null"), ["path", "id"], ["ord"])
 
 
-def members(chunks: DataFrame) -> DataFrame:
+def members(chunks: DataFrame, known: Structure | None = None) -> DataFrame:
     """``(path, id, type_id, type, name, is_orphan, ...record)``: every member that a key table, order, script context or orphan chunk tells of.
 
     Its type is its record's, else Script where a script context names it, else the first, in the order of detection,
     that a tag it owns tells. Content that no key entry names goes to the member its script slot tells, else to a member of its own number.
     """
-    keys = key_entries(chunks)
-    refs = script_refs(chunks, keys)
-    order = cast_order(chunks, keys, refs)
+    known = known or structure(chunks)
+    keys, refs, order = known.keys, known.refs, known.order
     slim = chunks.drop("payload")
     owned = keys.select("path", F.col("section").alias("id")).distinct()
     orphan = slim.where("id > 0").withColumn("kind", _detected(F.col("tag"))).where("kind is not null").join(owned, ["path", "id"], "left_anti")
@@ -194,14 +211,14 @@ def members(chunks: DataFrame) -> DataFrame:
     return out.select("path", "id", type_id.alias("type_id"), type_name(type_id).alias("type"), name.alias("name"), "is_orphan", "sections", "record_ord", *[F.col(f"m.{f}").alias(f) for f in fields])
 
 
-def script_sections(chunks: DataFrame, found: DataFrame) -> DataFrame:
+def script_sections(chunks: DataFrame, found: DataFrame, known: Structure | None = None) -> DataFrame:
     """``(path, id, section)``: the script of each member with a script slot, where one candidate is clearly the best.
 
     Candidates are the sections of the member's slot in any context; they score for being the member's own, for its
     owner, and for lying near the member's record.
     """
-    keys = key_entries(chunks)
-    refs = script_refs(chunks, keys)
+    known = known or structure(chunks)
+    keys, refs = known.keys, known.refs
     place = latest(chunks).select("path", F.col("id").alias("context"), F.col("ord").alias("context_ord"))
     owner = keys.groupBy("path", F.col("section").alias("section")).agg(F.max_by("owner", "index").alias("res_owner"))
     pairs = found.where("script_id > 0").select("path", "id", "script_id", "record_ord", F.try_element_at("sections", F.lit("Lscr")).alias("own")).join(refs.withColumnRenamed("slot", "script_id"), ["path", "script_id"])
@@ -233,12 +250,12 @@ def palettes(chunks: DataFrame, found: DataFrame) -> DataFrame:
     return found.where("type_id = 4").select("path", "id", F.try_element_at("sections", F.lit("CLUT")).alias("section")).join(tables, ["path", "section"]).select("path", "id", "colors")
 
 
-def resolved_palettes(chunks: DataFrame, found: DataFrame) -> DataFrame:
+def resolved_palettes(chunks: DataFrame, found: DataFrame, structural: Structure | None = None) -> DataFrame:
     """``(path, id, palette_ref, resolution)`` of each bitmap: the slot's member, the member of that id, the nearest palette before, the first, or a built-in one (negative)."""
     known = palettes(chunks, found).select("path", F.col("id").alias("pal"))
-    keys = key_entries(chunks)
-    order = cast_order(chunks, keys, script_refs(chunks, keys)).join(known.withColumnRenamed("pal", "id"), ["path", "id"]).select("path", "slot", F.col("id").alias("pal"))
-    low = movies(chunks).select("path", F.coalesce("min_member", F.lit(1)).alias("low"))
+    structural = structural or structure(chunks)
+    order = structural.order.join(known.withColumnRenamed("pal", "id"), ["path", "id"]).select("path", "slot", F.col("id").alias("pal"))
+    low = structural.movies.select("path", F.coalesce("min_member", F.lit(1)).alias("low"))
     maps = asof_preceding(found.where("type_id in (1, 53)").select("path", "id", "palette_id"), known.withColumn("id", F.col("pal")), ["path"], "id", "pal", "near", default_first=True)
     maps = maps.join(low, "path", "left").withColumn("slot_no", F.col("palette_id") - F.coalesce("low", F.lit(1)) + 1)
     at = lambda c: F.when(F.col("palette_id") > 0, F.struct("path", F.col(c).cast("int").alias("n")))
@@ -305,7 +322,7 @@ def _decoder(gray: bool):
 FIELDS = {"png": "image", "dat": "dataFile", "svg": "image", "pal": "paletteFile", "txt": "textFile", "rtf": "textFile", "json": "dataFile", "mp3": "soundFile", "wav": "soundFile", "snd": "soundFile"}
 
 
-def artifacts(chunks: DataFrame, found: DataFrame, enabled: list[str] | None = None, previous: DataFrame | None = None, gray: bool = False) -> DataFrame:
+def artifacts(chunks: DataFrame, found: DataFrame, enabled: list[str] | None = None, previous: DataFrame | None = None, gray: bool = False, known: Structure | None = None) -> DataFrame:
     """``(path, id, type, name, drop_reason, outcome, checksum, format, file, data, width, height, palette)`` for every member.
 
     A member is dropped, with the first reason that holds: its type isn't ``enabled``, it owns nothing, or nothing it owns
@@ -322,7 +339,7 @@ def artifacts(chunks: DataFrame, found: DataFrame, enabled: list[str] | None = N
     picked = picked.withColumn("section", F.try_element_at("sections", F.col("content_tag"))).withColumn("alpha_section", F.try_element_at("sections", F.lit("ALFA")))
     source = latest(chunks).select("path", F.col("id").alias("section"), "size", "payload", F.col("stored_hash").alias("checksum"), F.lit(True).alias("there"))
     alpha = latest(_of(chunks, "ALFA")).select("path", F.col("id").alias("alpha_section"), F.col("payload").alias("alpha"))
-    refs = resolved_palettes(chunks, found)
+    refs = resolved_palettes(chunks, found, known)
     colors = palettes(chunks, found).select("path", F.col("id").alias("palette_ref"), "colors")
     rows = picked.join(refs, ["path", "id"], "left").join(source, ["path", "section"], "left").join(alpha, ["path", "alpha_section"], "left").join(colors, ["path", "palette_ref"], "left")
     old = previous if previous is not None else rows.sparkSession.createDataFrame([], "path string, id int, checksum string")
