@@ -71,6 +71,12 @@ def test_stats(spark):
     assert [r[0] for r in df.select(reason).collect()] == [None, "y", "x"]
 
 
+def test_union_within_bounds(spark):
+    a, b = spark.createDataFrame([(0,), (1,), (None,)], "x int"), spark.createDataFrame([(1,), (9,), (10,)], "y bigint")
+    assert rows(stats.union_distinct([(a, "x"), (b, "y")], "id")) == sorted([(0,), (1,), (9,), (10,)], key=repr)
+    assert rows(stats.union_distinct([(a, "x"), (b, "y")], "id", 0, 10)) == [(1,), (9,)]
+
+
 def test_scalar_functions(spark):
     df = spark.createDataFrame([(" a\x00b\r\nc\rd　", bytearray(b"\x81\x00"), [1.0, 3.0, 1.0, 3.5])], "t string, b binary, v array<double>")
     got = df.select(text.normalize_text(F.col("t")), text.rtf(F.lit("a{\\}\n")), bits.varint(F.col("b")), arrays.smoothness(F.col("v")), arrays.half_similarity(F.col("v"), lambda a, b: a == b), text.basename(F.lit("a\\b:c/Movie.DCR")), text.sanitize(F.lit('a/b?"c')), text.sanitize(F.lit(" "))).first()
