@@ -100,9 +100,9 @@ def key_entries(chunks: DataFrame) -> DataFrame:
 
 
 def script_refs(chunks: DataFrame, keys: DataFrame) -> DataFrame:
-    """``(path, context, slot, section, names, owner)``: every slot of every script context, with the context's owner."""
+    """``(path, context, context_ord, slot, section, names, owner)``: every slot of every script context, with the context's owner."""
     owner = keys.groupBy("path", F.col("section").alias("context")).agg(F.max_by("owner", "index").alias("owner"))
-    refs = _of(first_wins(chunks.where("tag = 'LctX'"), ["path", "id"], ["ord"]), "LctX").select("path", F.col("id").alias("context"), F.inline(_context("payload", "big")))
+    refs = _of(first_wins(chunks.where("tag = 'LctX'"), ["path", "id"], ["ord"]), "LctX").select("path", F.col("id").alias("context"), F.col("ord").alias("context_ord"), F.inline(_context("payload", "big")))
     return refs.join(owner, ["path", "context"], "left")
 
 
@@ -178,25 +178,42 @@ def latest(chunks: DataFrame) -> DataFrame:
     return last_wins(chunks.where("id is not null"), ["path", "id"], ["ord"])
 
 
+def _script_owners(refs: DataFrame, scripted: DataFrame) -> DataFrame:
+    """``(path, section, told)``: the member of each section in a script context: of its first slot, the one of ``scripted(path, id, type_id, script_id)``
+    with that script number (Script members first, then the least id), else the slot's number, else the context's owner."""
+    first = first_wins(refs, ["path", "section"], ["context_ord", "slot"])
+    claims = scripted.where("script_id > 0").groupBy("path", F.col("script_id").cast("bigint").alias("number")).agg(F.min_by("id", F.struct(~F.col("type_id").eqNullSafe(11), F.col("id"))).alias("claimed"))
+    out = first.withColumn("number", F.col("slot").cast("bigint")).join(claims, ["path", "number"], "left")
+    return out.select("path", "section", F.coalesce("claimed", _slot_member()).alias("told"))
+
+
+def _slot_member() -> Column:
+    return F.coalesce(F.when(F.col("slot") < MAX_SLOTS, F.col("slot")), F.col("owner"))
+
+
 def members(chunks: DataFrame, known: Structure | None = None) -> DataFrame:
     """``(path, id, type_id, type, name, is_orphan, ...record)``: every member that a key table, order, script context or orphan chunk tells of.
 
     Its type is its record's, else Script where a script context names it, else the first, in the order of detection,
-    that a tag it owns tells. Content that no key entry names goes to the member its script slot tells, else to a member of its own number.
+    that a tag it owns tells. Content that no key entry names goes to the member its script slot tells (``_script_owners``), else to a
+    member of its own number; a script doesn't replace one that a key entry names, and of several the first chunk counts.
     """
     known = known or structure(chunks)
     keys, refs, order = known.keys, known.refs, known.order
     slim = chunks.drop("payload")
     owned = keys.select("path", F.col("section").alias("id")).distinct()
     orphan = slim.where("id > 0").withColumn("kind", _detected(F.col("tag"))).where("kind is not null").join(owned, ["path", "id"], "left_anti")
-    by_script = refs.groupBy("path", F.col("section").alias("id")).agg(F.min(F.coalesce("owner", "slot")).alias("told"))
+    # Only files with script contexts have their members' records read twice.
+    numbered = latest(_of(chunks, "CASt").join(refs.select("path").distinct(), "path", "left_semi")).select("path", F.col("id").alias("section"), _member("payload", "big").alias("m"))
+    numbered = last_wins(keys.where("tag = 'CASt'"), ["path", "owner"], ["index"]).join(numbered, ["path", "section"]).select("path", F.col("owner").alias("id"), "m.type_id", "m.script_id")
+    by_script = _script_owners(refs, numbered).withColumnRenamed("section", "id")
     orphan = orphan.join(by_script, ["path", "id"], "left").where("tag <> 'Lscr' or told is not null")
-    orphan = orphan.select("path", F.coalesce("told", "logical_id").alias("member"), F.col("id").alias("section"), "tag", "kind")
+    orphan = orphan.select("path", F.coalesce("told", "logical_id").alias("member"), F.col("id").alias("section"), "tag", F.when(F.col("tag") == "Lscr", -1 - F.col("ord")).otherwise(1 << 30).alias("index"))
     bounded = lambda df: df.where(f"id > 0 and id < {MAX_SLOTS}").distinct()
-    sure = bounded(keys.select("path", F.col("owner").alias("id")).unionByName(order.select("path", "id")).unionByName(refs.select("path", F.coalesce("owner", "slot").alias("id"))))
+    sure = bounded(keys.select("path", F.col("owner").alias("id")).unionByName(order.select("path", "id")).unionByName(refs.join(owned.withColumnRenamed("id", "section"), ["path", "section"], "left_anti").select("path", _slot_member().alias("id"))))
     extra = bounded(orphan.select("path", F.col("member").alias("id"))).join(sure, ["path", "id"], "left_anti").withColumn("is_orphan", F.lit(True))
     everyone = sure.withColumn("is_orphan", F.lit(False)).unionByName(extra)
-    content = keys.select("path", F.col("owner").alias("id"), "tag", "section", "index").unionByName(orphan.select("path", F.col("member").alias("id"), "tag", "section", F.lit(1 << 30).alias("index")))
+    content = keys.select("path", F.col("owner").alias("id"), "tag", "section", "index").unionByName(orphan.select("path", F.col("member").alias("id"), "tag", "section", "index"))
     content = last_wins(content, ["path", "id", "tag"], ["index"])
     kind = _detected(F.col("tag"))
     told = content.withColumn("kind", kind).groupBy("path", "id").agg(F.min_by("kind", _rank(tags.DETECTION, F.col("kind"))).alias("detected"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("tag", "section")))).alias("sections"))
@@ -212,25 +229,47 @@ def members(chunks: DataFrame, known: Structure | None = None) -> DataFrame:
 
 
 def script_sections(chunks: DataFrame, found: DataFrame, known: Structure | None = None) -> DataFrame:
-    """``(path, id, section)``: the script of each member with a script slot, where one candidate is clearly the best.
+    """``(path, id, section)``: the script of each Script member with a script slot, where one candidate is clearly the best or the only section.
 
-    Candidates are the sections of the member's slot in any context; they score for being the member's own, for its
-    owner, and for lying near the member's record.
+    A member's slot is its script number, else its own id where a context names it. Candidates are the slot's sections in any
+    context; they score for being the member's own, for its owner, and for lying near the record of the context's owner, else near the context.
     """
     known = known or structure(chunks)
     keys, refs = known.keys, known.refs
-    place = latest(chunks).select("path", F.col("id").alias("context"), F.col("ord").alias("context_ord"))
-    owner = keys.groupBy("path", F.col("section").alias("section")).agg(F.max_by("owner", "index").alias("res_owner"))
-    pairs = found.where("script_id > 0").select("path", "id", "script_id", "record_ord", F.try_element_at("sections", F.lit("Lscr")).alias("own")).join(refs.withColumnRenamed("slot", "script_id"), ["path", "script_id"])
-    pairs = pairs.join(place, ["path", "context"], "left").join(owner, ["path", "section"], "left")
+    place = found.where("record_ord is not null").select("path", F.col("id").alias("owner"), F.col("record_ord").alias("owner_ord"))
+    by_key = keys.groupBy("path", "section").agg(F.max_by("owner", "index").alias("key_owner"))
+    named = refs.select("path", F.col("slot").alias("id")).unionByName(refs.select("path", F.col("section").alias("id"))).distinct().withColumn("named", F.lit(True))
+    slot = F.when(F.col("script_id") > 0, F.col("script_id").cast("bigint")).when(F.col("named"), F.col("id").cast("bigint"))
+    scripts = found.where("type_id = 11").join(named, ["path", "id"], "left").select("path", "id", slot.alias("number"), "record_ord", F.try_element_at("sections", F.lit("Lscr")).alias("own"))
+    slots = refs.withColumn("number", F.col("slot").cast("bigint"))
+    pairs = scripts.join(slots, ["path", "number"]).join(place, ["path", "owner"], "left").join(by_key, ["path", "section"], "left").join(_script_owners(refs, found), ["path", "section"], "left")
     hit = lambda c, n: F.when(c, n).otherwise(0)
-    gap = F.abs(F.col("record_ord") - F.col("context_ord"))
+    at = F.coalesce("owner_ord", "context_ord")
+    gap = F.abs(F.col("record_ord") - at)
     score = reduce(lambda a, b: a + b, [
-        hit(F.col("own") == F.col("section"), 1000), hit(F.col("res_owner") == F.col("id"), 400), hit(F.col("owner") == F.col("id"), 250),
-        F.coalesce(F.greatest(F.lit(0), 40 - F.least(gap, F.lit(40))), F.lit(0)), hit(F.col("context_ord") <= F.col("record_ord"), 5),
+        hit(F.col("own") == F.col("section"), 1000), hit(F.coalesce("key_owner", "told") == F.col("id"), 400), hit(F.col("owner") == F.col("id"), 250),
+        F.coalesce(F.greatest(F.lit(0), 40 - F.least(gap, F.lit(40))), F.lit(0)), hit(at <= F.col("record_ord"), 5),
     ])
-    best = scored_match(pairs.select(F.struct("path", "id").alias("k"), "section", score.alias("points")), "k", "section", F.col("points"), "section")
-    return best.where("section is not null").select("k.path", "k.id", "section")
+    scored = pairs.select(F.struct("path", "id").alias("k"), "section", score.alias("points"))
+    best = scored_match(scored, "k", "section", F.col("points"), "best")
+    sole = scored.groupBy("k").agg(F.when(F.min("section") == F.max("section"), F.min("section")).alias("sole"))
+    return best.join(sole, "k").select("k.path", "k.id", F.coalesce("best", "sole").alias("section")).where("section is not null")
+
+
+def scripts(chunks: DataFrame, found: DataFrame, known: Structure | None = None) -> DataFrame:
+    """``(path, id, section)``: the script of each Script member: by its slot, else the one it owns; where that has no bytes, a dangling one."""
+    known = known or structure(chunks)
+    # Every step reads the members again: what they need of them, in files with scripts, is written once.
+    files = chunks.where("tag = 'Lscr'").select("path").unionByName(known.refs.select("path")).distinct()
+    slim = materialize(found.select("path", "id", "type_id", "script_id", "record_ord", "sections").join(files, "path", "left_semi"), "scripted")
+    own = slim.where("type_id = 11").select("path", "id", F.try_element_at("sections", F.lit("Lscr")).alias("own"))
+    told = materialize(script_sections(chunks, slim, known), "script_sections")
+    chosen = own.join(told, ["path", "id"], "left").select("path", "id", F.coalesce("section", "own").alias("chosen"))
+    there = latest(chunks.withColumn("payload", F.col("payload").isNotNull())).where("size > 0 and payload").select("path", F.col("id").alias("chosen"))
+    done = chosen.join(there, ["path", "chosen"], "left_semi").select("path", "id")
+    loose = _dangling(chunks, slim, known, told, done).withColumnRenamed("section", "loose")
+    out = chosen.join(loose, ["path", "id"], "left").select("path", "id", F.coalesce("loose", "chosen").alias("section"))
+    return materialize(out.where("section is not null"), "scripts")
 
 
 def script_names(chunks: DataFrame, refs: DataFrame) -> DataFrame:
@@ -326,7 +365,7 @@ def artifacts(chunks: DataFrame, found: DataFrame, enabled: list[str] | None = N
     """``(path, id, type, name, drop_reason, outcome, checksum, format, file, data, width, height, palette)`` for every member.
 
     A member is dropped, with the first reason that holds: its type isn't ``enabled``, it owns nothing, or nothing it owns
-    has its type's content. Of the rest, one whose stored bytes hash as in ``previous(path, id, checksum)`` is ``unchanged``
+    has its type's content; a Script member's content is what ``scripts`` finds. Of the rest, one whose stored bytes hash as in ``previous(path, id, checksum)`` is ``unchanged``
     and isn't decoded; a section without a chunk is ``unresolved_reference``, one without bytes ``placeholder_source``.
     """
     wanted = F.try_element_at(_lookup({k: v for k, v in tags.CONTENT.items()}, "map<int,array<string>>"), F.col("type_id"))
@@ -334,9 +373,12 @@ def artifacts(chunks: DataFrame, found: DataFrame, enabled: list[str] | None = N
     own_fx = F.try_element_at(F.filter(F.map_keys("sections"), lambda t: t.startswith("Fx")), F.lit(1))
     tag = F.coalesce(F.try_element_at(hits, F.lit(1)), F.when(F.col("type_id") == 14, own_fx))
     checks = [] if enabled is None else [("filtered_by_option", ~F.col("type").isin(*enabled))]
-    checks += [("no_key_map", F.col("sections").isNull()), ("no_matching_tags", F.col("content_tag").isNull())]
-    picked = found.withColumn("content_tag", F.when(F.col("sections").isNotNull(), tag)).withColumn("drop_reason", first_reason(checks))
-    picked = picked.withColumn("section", F.try_element_at("sections", F.col("content_tag"))).withColumn("alpha_section", F.try_element_at("sections", F.lit("ALFA")))
+    checks += [("no_key_map", F.col("sections").isNull() & F.col("script").isNull()), ("no_matching_tags", F.col("content_tag").isNull())]
+    known = known or structure(chunks)
+    picked = found.join(scripts(chunks, found, known).withColumnRenamed("section", "script"), ["path", "id"], "left")
+    own_tag = F.when(F.col("script").isNotNull(), F.lit("Lscr")).when(F.col("sections").isNotNull(), tag)
+    picked = picked.withColumn("content_tag", own_tag).withColumn("drop_reason", first_reason(checks))
+    picked = picked.withColumn("section", F.coalesce("script", F.try_element_at("sections", F.col("content_tag")))).withColumn("alpha_section", F.try_element_at("sections", F.lit("ALFA")))
     source = latest(chunks).select("path", F.col("id").alias("section"), "size", "payload", F.col("stored_hash").alias("checksum"), F.lit(True).alias("there"))
     alpha = latest(_of(chunks, "ALFA")).select("path", F.col("id").alias("alpha_section"), F.col("payload").alias("alpha"))
     refs = resolved_palettes(chunks, found, known)
@@ -384,11 +426,21 @@ def diagnostics(chunks: DataFrame) -> DataFrame:
     return chunks.where("problem is not null").select("path", "form", "problem")
 
 
-def dangling_scripts(chunks: DataFrame, found: DataFrame) -> DataFrame:
-    """``(path, id, section)``: script members without a script and script chunks without a member, paired in their orders."""
-    bare = found.where("type_id = 11 and (sections is null or not map_contains_key(sections, 'Lscr'))").select("path", "id")
-    used = found.select("path", F.explode("sections")).select("path", F.col("value").alias("section"))
-    free = latest(chunks).where("tag = 'Lscr'").select("path", F.col("id").alias("section"), "ord").join(used, ["path", "section"], "left_anti")
-    a = bare.withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy("id")))
-    b = free.withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy("ord")))
-    return a.join(b, ["path", "n"]).select("path", "id", "section")
+def dangling_scripts(chunks: DataFrame, found: DataFrame, known: Structure | None = None, done: DataFrame | None = None) -> DataFrame:
+    """``(path, id, section)``: Script members that aren't in ``done(path, id)`` (nobody is, without it) and script chunks without a member.
+
+    First a member takes the chunk that its slot tells (each chunk once, the least id first), then the rest are paired in their orders.
+    """
+    known = known or structure(chunks)
+    return _dangling(chunks, found, known, script_sections(chunks, found, known), done)
+
+
+def _dangling(chunks: DataFrame, found: DataFrame, known: Structure, told: DataFrame, done: DataFrame | None) -> DataFrame:
+    bare = found.where("type_id = 11").select("path", "id")
+    bare = bare if done is None else bare.join(done, ["path", "id"], "left_anti")
+    used = known.keys.where("owner <> 0").select("path", "section").unionByName(known.refs.where(_slot_member().between(1, MAX_SLOTS - 1)).select("path", "section"))
+    free = latest(chunks.drop("payload")).where("tag = 'Lscr'").select("path", F.col("id").alias("section"), "ord").join(used, ["path", "section"], "left_anti")
+    told = told.join(bare, ["path", "id"], "left_semi").join(free, ["path", "section"], "left_semi").groupBy("path", "section").agg(F.min("id").alias("id"))
+    a = bare.join(told, ["path", "id"], "left_anti").withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy("id")))
+    b = free.join(told, ["path", "section"], "left_anti").withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy("ord")))
+    return told.select("path", "id", "section").unionByName(a.join(b, ["path", "n"]).select("path", "id", "section"))

@@ -157,3 +157,27 @@ def test_payload_codecs():
     loop = b"\0" * 12 + struct.pack(">IHI", 0, 0, 3) + struct.pack(">H", 13) + b"\1" + struct.pack(">HBB4h", 7, 0, 0, 0, 0, 1, 1) + struct.pack(">H", 0) + struct.pack(">H", 13) + b"\2" + struct.pack(">HBB4h", 8, 0, 0, 0, 0, 1, 1)
     frames = json.loads(payloads.film_loop(loop))["frames"]
     assert [sorted(f["channels"]) for f in frames] == [["1"], ["1"], ["1", "2"]]
+
+
+def test_script_artifacts(spark):
+    context = lambda sections: struct.pack(">IIIIHH", 0, 0, len(sections), 0, 36, 12).ljust(32, b"\0") + struct.pack(">i", -1) + b"".join(struct.pack(">iii", 0, s, 0) for s in sections)
+    code = lambda n: bytes([n]) * 140
+    script = lambda name, number: ("CASt", writer.member(11, name, struct.pack(">H", 3), script_id=number))
+
+    def read(chunks, keys):
+        data = writer.container([("KEY*", writer.key_table(keys)), *chunks])
+        chunks = materialize(container.chunks_of(spark.createDataFrame([("p", bytearray(data))], "path string, content binary")), "chunks")
+        return {r["id"]: (r["type"], r["outcome"], r["format"], r["data"] and r["data"][0]) for r in extract.artifacts(chunks, materialize(extract.members(chunks), "members")).collect()}
+
+    # Chunks are numbered from 4 (the key table is 3): three records, three scripts under one owned context, the context.
+    owned = [script("a", 3), script("b", 1), script("c", 2), ("Lscr", code(1)), ("Lscr", code(2)), ("Lscr", code(3)), ("LctX", context([7, 8, 9]))]
+    got = read(owned, [(4, 1, "CASt"), (5, 2, "CASt"), (6, 3, "CASt"), (10, 50, "LctX")])
+    done = lambda n: ("Script", "extracted", "dat", n)
+    assert got == {1: done(3), 2: done(1), 3: done(2), 50: ("Null", None, None, None)}
+    # A slot without a member is one itself; members whose script number names no slot take the scripts in no context in their order.
+    loose = [script("a", 2), script("b", 77), script("c", 78), ("Lscr", code(1)), ("Lscr", code(2)), ("Lscr", code(3)), ("Lscr", code(4)), ("LctX", context([7, 9]))]
+    got = read(loose, [(4, 10, "CASt"), (5, 11, "CASt"), (6, 12, "CASt"), (11, 50, "LctX")])
+    assert {k: v for k, v in got.items() if k not in (2, 50)} == {1: done(1), 10: done(3), 11: done(2), 12: done(4)}
+    # Two contexts have the slot; the one whose owner's record is nearer counts.
+    twice = [script("a", 1), ("CASt", writer.member(3, "x")), ("Lscr", code(1)), ("Lscr", code(2)), ("LctX", context([6])), ("LctX", context([7]))]
+    assert read(twice, [(4, 10, "CASt"), (5, 20, "CASt"), (8, 30, "LctX"), (9, 20, "LctX")])[10] == done(1)
