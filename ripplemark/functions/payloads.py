@@ -5,21 +5,22 @@ from __future__ import annotations
 import json
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 
 from ..sources.cursor import Cursor
 
-MAX_SIDE, MAX_UNPACKED = 4096, 20 << 20
+#: Large images are scored and drawn in parts of about so many pixels.
+BAND = 1 << 20
 _ALIGN = {1: 16, 2: 2, 4: 4, 8: 2, 16: 1, 32: 4}
 
 
-def unpack_bits(data: bytes, limit: int = MAX_UNPACKED) -> bytes:
-    """PackBits: n copies n + 1 bytes, -n repeats the next byte n + 1 times, -128 does nothing; ends with the data or the limit."""
+def unpack_bits(data: bytes, limit: int | None = None) -> bytes:
+    """PackBits: n copies n + 1 bytes, -n repeats the next byte n + 1 times, -128 does nothing; ends with the data or a told limit."""
     out, at = bytearray(), 0
-    while at < len(data) and len(out) < limit:
+    while at < len(data) and (limit is None or len(out) < limit):
         n = data[at]
         at += 1
         if n < 128:
@@ -75,7 +76,7 @@ def lenient_inflate(data: bytes) -> bytes | None:
         if i == 0 or (data[i] == 0x78 and data[i + 1 : i + 2] in (b"\x01", b"\x9c", b"\xda")):
             try:
                 engine = zlib.decompressobj()
-                out = engine.decompress(data[i:], MAX_UNPACKED)
+                out = engine.decompress(data[i:])
                 if engine.eof:
                     return out
             except zlib.error:
@@ -116,10 +117,18 @@ def jasc(colors: np.ndarray) -> bytes:
 
 def png(pixels: np.ndarray) -> bytes:
     """An RGBA image of 8 bits a channel, all rows unfiltered."""
-    h, w = pixels.shape[:2]
-    lines = np.concatenate((np.zeros((h, 1), np.uint8), pixels.reshape(h, w * 4)), axis=1)
+    return png_of(pixels.shape[1], pixels.shape[0], [pixels])
+
+
+def png_of(w: int, h: int, bands: Iterable[np.ndarray]) -> bytes:
+    """The same of an image whose rows come in parts."""
+    squeeze, body = zlib.compressobj(), bytearray()
+    for pixels in bands:
+        n = len(pixels)
+        body += squeeze.compress(np.concatenate((np.zeros((n, 1), np.uint8), pixels.reshape(n, w * 4)), axis=1).tobytes())
+    body += squeeze.flush()
     part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6, 0, 0, 0)) + part(b"IDAT", zlib.compress(lines.tobytes())) + part(b"IEND", b"")
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6, 0, 0, 0)) + part(b"IDAT", bytes(body)) + part(b"IEND", b"")
 
 
 def row_sizes(width: int, depth: int, pitch: int = 0) -> list[int]:
@@ -145,6 +154,21 @@ def _indices(data: bytes, w: int, h: int, depth: int, row: int) -> np.ndarray:
     return (bits @ (1 << np.arange(depth)[::-1])).astype(np.uint8)
 
 
+def _bands(w: int, h: int) -> Iterator[tuple[int, int]]:
+    step = max(1, BAND // max(1, w))
+    return ((y, min(h, y + step)) for y in range(0, h, step))
+
+
+def _told_roughness(data: bytes, w: int, h: int, depth: int, row: int) -> float:
+    """``roughness`` of indexed pixels, a part at a time; rows behind the data are blank and add nothing."""
+    total = 0
+    for y, end in _bands(w, min(h, -(-len(data) // row) + 1)):
+        low = max(0, y - 1)
+        x = _indices(data[low * row : end * row], w, end - low, depth, row).astype(np.int16)
+        total += int(np.abs(np.diff(x[y - low :], axis=1)).sum(dtype=np.int64) + np.abs(np.diff(x, axis=0)).sum(dtype=np.int64))
+    return total / max(1, h * (w - 1) + (h - 1) * w)
+
+
 def _similar_halves(x: np.ndarray) -> float:
     half = x.shape[1] // 2
     return float((x[:, :half] == x[:, half:]).mean()) if half and half * 2 == x.shape[1] else 0.0
@@ -176,6 +200,10 @@ def inferred(sources: list[bytes], depth: int) -> tuple[float, bytes, int, int,
     return best[0], sources[best[1]], best[2], best[3], best[4]
 
 
+def _stride(w: int, depth: int, row: int) -> int:
+    return w + w % 2 if depth == 8 and row >= w + w % 2 else row
+
+
 def render(data: bytes, w: int, h: int, depth: int, row: int, colors: np.ndarray | None = None, alpha: bytes | None = None, own_alpha: bool = False) -> np.ndarray:
     """RGBA pixels. 32 bits: each row has its alpha, red, green and blue one after another; alpha counts only where the flag says so."""
     out = np.full((h, w, 4), 255, np.uint8)
@@ -191,8 +219,7 @@ def render(data: bytes, w: int, h: int, depth: int, row: int, colors: np.ndarray
         for c, shift in enumerate((10, 5, 0)):
             out[:, :, c] = (v >> shift & 31) << 3
     else:
-        if depth == 8 and row >= w + w % 2:
-            row = w + w % 2
+        row = _stride(w, depth, row)
         table = np.array([[255] * 3, [0] * 3], np.uint8) if depth == 1 else INDEX_GRAY if colors is None else colors
         wide = np.zeros((256, 3), np.uint8)
         wide[: len(table)] = table[:256]
@@ -217,9 +244,12 @@ def bitmap(data: bytes | None, width: int, height: int, depth: int, pitch: int =
     own_alpha = bool(flags & 0x4000)
 
     def done(d: bytes, w: int, h: int, bits: int, row: int) -> tuple[str, bytes, int, int]:
-        return "png", png(render(d, w, h, bits, row, colors, alpha, own_alpha)), w, h
+        step = _stride(w, bits, row)
+        mask = alpha if alpha is not None and len(alpha) == w * h else None
+        parts = (render(d[y * step : end * step], w, end - y, bits, step, colors, mask and mask[y * w : end * w], own_alpha) for y, end in _bands(w, h))
+        return "png", png_of(w, h, parts), w, h
 
-    if not 0 < width <= MAX_SIDE or not 0 < height <= MAX_SIDE:
+    if width <= 0 or height <= 0:
         guess = inferred(sources, depth) if depth in (1, 2, 4, 8) else None
         return done(guess[1], guess[2], guess[3], depth, guess[4]) if guess else ("dat", data, 0, 0)
     depths = [depth, *(d for d in (32, 16, 8, 4, 1, 2) if d != depth)]
@@ -239,7 +269,7 @@ def bitmap(data: bytes | None, width: int, height: int, depth: int, pitch: int =
             if len(d) >= 32:
                 for row in row_sizes(width, depth, pitch):
                     miss = row * height - len(d)
-                    told.append((roughness(_indices(d, width, height, depth, row)) + max(0, miss) / height + max(0, -miss) / row, i, row))
+                    told.append((_told_roughness(d, width, height, depth, row) + max(0, miss) / height + max(0, -miss) / row, i, row))
         best = min(told, default=None)
         guess = None if best and pitch > 0 else inferred(sources, depth)
         if best and (guess is None or best[0] <= guess[0]):

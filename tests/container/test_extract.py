@@ -181,3 +181,40 @@ def test_script_artifacts(spark):
     # Two contexts have the slot; the one whose owner's record is nearer counts.
     twice = [script("a", 1), ("CASt", writer.member(3, "x")), ("Lscr", code(1)), ("Lscr", code(2)), ("LctX", context([6])), ("LctX", context([7]))]
     assert read(twice, [(4, 10, "CASt"), (5, 20, "CASt"), (8, 30, "LctX"), (9, 20, "LctX")])[10] == done(1)
+
+
+def _pixels(art, w, h):
+    return np.frombuffer(zlib.decompress(art[art.index(b"IDAT") + 4 :]), np.uint8).reshape(h, 1 + w * 4)[:, 1:].reshape(h, w, 4)
+
+
+def test_large_bitmaps():
+    w, h = 2600, 2200  # 22.9 MB of 32 bits
+    line = np.repeat(np.arange(4, dtype=np.uint8) * 60, w)
+    data = b"".join(bytes(np.roll(line, y)) for y in range(h))
+    for stored in (payloads.pack_bits(data), zlib.compress(data, 1), zlib.compress(payloads.pack_bits(data), 1)):
+        form, art, *size = payloads.bitmap(stored, w, h, 32)
+        assert (form, size) == ("png", [w, h])
+        got = _pixels(art, w, h)
+        for y in (0, 1, h - 1):
+            assert (got[y, :, :3] == np.roll(line, y).reshape(4, w)[1:].T).all()
+    wide = np.arange(5000 * 3, dtype=np.uint32).astype(np.uint8).reshape(3, 5000)
+    for stored, w, h in ((wide, 5000, 3), (wide.T[:, :2].copy(), 2, 5000)):
+        form, art, *size = payloads.bitmap(stored.tobytes(), w, h, 8)
+        assert (form, size) == ("png", [w, h]) and (_pixels(art, w, h)[:, :, 0] == stored).all()
+    short = wide.tobytes()[:-700]  # fits no length: padded to the declared geometry
+    form, art, *size = payloads.bitmap(short, 5000, 3, 8, 5000)
+    assert (form, size) == ("png", [5000, 3]) and (_pixels(art, 5000, 3)[2, :4300, 0] == wide[2, :4300]).all()
+
+
+def test_parts_of_a_bitmap_are_the_whole(monkeypatch):
+    rng = np.random.default_rng(1)
+    for depth, w in ((1, 16), (2, 9), (4, 7), (8, 5), (16, 5), (32, 4)):
+        for row in payloads.row_sizes(w, depth, 40):
+            data = rng.bytes(row * 11)
+            whole = payloads.png(payloads.render(data, w, 11, depth, row, None, alpha := rng.bytes(w * 11)))
+            monkeypatch.setattr(payloads, "BAND", 3 * w)
+            stored = payloads.bitmap(data, w, 11, depth, row, None, alpha)[1]
+            assert stored is not None and (_pixels(stored, w, 11) == _pixels(whole, w, 11)).all()
+            if depth <= 8:
+                for d in (data, data[: row * 4 - 1]):
+                    assert payloads._told_roughness(d, w, 11, depth, row) == payloads.roughness(payloads._indices(d, w, 11, depth, row))
