@@ -3,6 +3,8 @@
 A notice that may differ by k edits is cut into k + 1 seeds; wherever it occurs with k edits at most, one of
 the seeds occurs unchanged (pigeonhole). One automaton finds all seeds of all notices in a single pass over
 the text; around each hit the ``regex`` library matches the whole notice with at most k insertions, deletions and substitutions.
+Notices of other versions and variants lie within k edits of each other, so all that are known compete: of matches
+of one span only those with the fewest edits stay.
 """
 
 from __future__ import annotations
@@ -28,6 +30,15 @@ NOTICES = {
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0",
     "cc-by-sa": "Creative Commons Attribution-ShareAlike",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose",
+    "apache-1.0": "Licensed under the Apache License, Version 1.0",
+    "apache-1.1": "Licensed under the Apache License, Version 1.1",
+    "gpl-1.0": "licensed under the GNU General Public License, version 1",
+    "gpl-2.0": "licensed under the GNU General Public License, version 2",
+    "mpl-1.0": "subject to the terms of the Mozilla Public License, v. 1.0",
+    "mpl-1.1": "subject to the terms of the Mozilla Public License, v. 1.1",
+    **{f"cc-by-{v}": f"Creative Commons Attribution {v} International" for v in ("1.0", "2.0", "2.5", "3.0")},
+    **{f"cc-by-nc-{v}": f"Licensed under CC BY-NC {v}" for v in ("1.0", "2.0", "2.5", "3.0")},
+    **{f"cc-by-{kind}-{v}": f"Licensed under CC BY-{kind.upper()} {v}" for kind in ("sa", "nd") for v in ("1.0", "2.0", "2.5", "3.0", "4.0")},
     "unlicense": "This is free and unencumbered software released into the public domain",
 }
 #: Characters of a notice for each edit that is allowed.
@@ -41,6 +52,20 @@ def lower(text: str) -> str:
     return low if len(low) == len(text) else text.translate(_LOWER)
 
 
+def fewest_edits(found: list[tuple[str, int, int, int]]) -> list[tuple[str, int, int, int]]:
+    """The matches without those whose span another notice has with fewer edits; equally good ones all stay."""
+    beaten, open_ = set(), []
+    for i in sorted(range(len(found)), key=lambda i: found[i][1]):
+        name, start, end, edits = found[i]
+        open_ = [j for j in open_ if found[j][2] > start]
+        for j in open_:
+            other, a, b, least = found[j]
+            if other != name and 2 * (min(b, end) - start) >= min(b - a, end - start):
+                beaten |= {i} if least < edits else {j} if edits < least else set()
+        open_.append(i)
+    return [x for i, x in enumerate(found) if i not in beaten]
+
+
 class Scanner:
     def __init__(self, notices: dict[str, str] = NOTICES, chars_an_edit: int = CHARS_AN_EDIT):
         self.patterns: list[tuple[str, int, int, regex.Pattern]] = []
@@ -58,7 +83,10 @@ class Scanner:
         self.seeds.make_automaton()
 
     def scan(self, text: str) -> list[tuple[str, int, int, int]]:
-        """``(notice, start, end, edits)`` of every match, in characters; a notice's matches don't overlap."""
+        """``(notice, start, end, edits)`` of every match, in characters; a notice's matches don't overlap.
+
+        A match gives way to another notice's with fewer edits that shares at least half of the shorter of both.
+        """
         low = lower(text)
         windows: dict[int, list[list[int]]] = {}
         for end, (size, places) in self.seeds.iter(low):
@@ -78,12 +106,12 @@ class Scanner:
             name, _, _, pattern = self.patterns[n]
             for a, b in merged:
                 out += [(name, m.start(), m.end(), sum(m.fuzzy_counts)) for m in pattern.finditer(low, a, b)]
-        return out
+        return fewest_edits(out)
 
     def scan_all(self, text: str) -> list[tuple[str, int, int, int]]:
         """The same without seeds: every pattern over the whole text (slow; what ``scan`` has to find)."""
         low = lower(text)
-        return [(name, m.start(), m.end(), sum(m.fuzzy_counts)) for name, _, _, pattern in self.patterns for m in pattern.finditer(low)]
+        return fewest_edits([(name, m.start(), m.end(), sum(m.fuzzy_counts)) for name, _, _, pattern in self.patterns for m in pattern.finditer(low)])
 
 
 def scan_licenses(docs: DataFrame, notices: dict[str, str] = NOTICES, chars_an_edit: int = CHARS_AN_EDIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

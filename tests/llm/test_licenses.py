@@ -51,3 +51,15 @@ def test_odd_rows(spark):
     assert got.count() == docs.where("text is not null").count()
     assert {r["span"] for r in got.collect()} == {notice}
     assert rows(licenses.scan_licenses(docs.limit(0))) == []
+
+
+def test_other_versions_and_variants_have_their_own_name():
+    scanner = licenses.Scanner()
+    for text, name in (
+        ("Licensed under CC BY-SA 4.0", "cc-by-sa-4.0"), ("Licensed under CC BY-ND 4.0", "cc-by-nd-4.0"), ("Licensed under CC BY-NC 4.0", "cc-by-nc-4.0"), ("Licensed under CC BY-NC 3.0", "cc-by-nc-3.0"),
+        ("licensed under the GNU General Public License, version 2", "gpl-2.0"), ("licensed under the GNU General Public Licence, version 3", "gpl-3.0"),
+        ("Licensed under the Apache License, Version 1.1", "apache-1.1"), ("Licenced under the Apache License, Version 2.0", "apache-2.0"), ("subject to the terms of the Mozilla Public License, v. 1.1", "mpl-1.1"),
+    ):
+        for around in (text, f"Some words. {text}. {licenses.NOTICES['mit']}"):
+            found = {x[0] for x in scanner.scan(around)} - {"mit"}
+            assert found == {name} == {x[0] for x in scanner.scan_all(around)} - {"mit"}
