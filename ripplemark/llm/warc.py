@@ -1,7 +1,7 @@
 """WARC files: a sequential reader and the writer that its round trip needs.
 
 One gzip member holds one record. The reader asks a stream for a chunk at a time, inflates
-incrementally, frames the block by Content-Length and verifies block and payload digests (SHA-1, base 32).
+incrementally, frames the block by Content-Length and verifies block and payload digests (SHA-1, SHA-256 or MD5, in base 32 or hexadecimal, of any letter case).
 A damaged member is reported and skipped: reading goes on at the next member's magic.
 """
 
@@ -32,6 +32,19 @@ def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+_ALGORITHMS = {"sha1": hashlib.sha1, "sha256": hashlib.sha256, "md5": hashlib.md5}
+
+
+def holds(told: str, data: bytes) -> bool | None:
+    """Whether a told digest is the data's; None where its algorithm isn't known."""
+    kind, _, value = told.partition(":")
+    algorithm = _ALGORITHMS.get(kind.strip().lower().replace("-", ""))
+    if algorithm is None:
+        return None
+    own, value = algorithm(data).digest(), value.strip()
+    return value.lower() == own.hex() or value.upper().rstrip("=") == base64.b32encode(own).decode().rstrip("=")
+
+
 def _field(value: str) -> str:
     return value.replace("\r", "%0D").replace("\n", "%0A")
 
@@ -76,9 +89,14 @@ def parse_record(data: bytes) -> dict:
         payload = None
     out["payload"] = payload
     for name, data in (("warc-block-digest", block), ("warc-payload-digest", payload or b"")):
-        told = fields.get(name, "")
-        if told.startswith("sha1:") and told != digest(data):
+        # A revisit's payload digest is that of the record it points to.
+        if not (told := fields.get(name)) or (name == "warc-payload-digest" and (out["record_type"] or "").lower() == "revisit"):
+            continue
+        held = holds(told, data)
+        if held is False:
             return out | {"status": "bad digest"}
+        if held is None:
+            out["status"] = "unverified"
     return out
 
 
@@ -176,7 +194,7 @@ def write_warc(records: DataFrame, path: str, level: int = LEVEL, file_bytes: in
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """All records of the ``*.warc.gz`` files under ``path``, a task a file; ``status`` is ``ok`` or what is wrong with the record.
+    """All records of the ``*.warc.gz`` files under ``path``, a task a file; ``status`` is ``ok``, ``unverified`` (a digest of an unknown algorithm) or what is wrong with the record.
 
     Damaged members have a row with an offset and a status only; a folder without files gives an empty table.
     """

@@ -1,4 +1,6 @@
+import base64
 import gzip
+import hashlib
 import io
 
 from common import rows
@@ -55,3 +57,19 @@ def test_odd_rows(spark, tmp_path):
     assert warc.write_warc(df.limit(0), str(tmp_path / "e")) == 0
     (tmp_path / "e").mkdir(exist_ok=True)
     assert rows(warc.read_warc(spark, str(tmp_path / "e"))) == []
+
+
+def test_digests_of_other_algorithms_and_spellings():
+    (a,) = members(("a", "u", b"one"))
+    said = lambda m: next(warc.read_records(io.BytesIO(m)))["status"]
+    own = warc.digest(b"one").encode()
+    for kind in ("sha1", "sha256", "md5"):
+        for data, status in ((b"one", "ok"), (b"two", "bad digest")):
+            raw = hashlib.new(kind, data).digest()
+            b32 = base64.b32encode(raw).decode()
+            for told in (f"{kind}:{b32}", f"{kind.upper()}:{b32}", f"{kind}:{b32.lower()}", f"{kind}:{b32.rstrip('=')}", f"{kind}:{raw.hex()}", f"{kind}:{raw.hex().upper()}"):
+                assert said(again(a, own, told.encode())) == status
+    assert said(again(a, own, b"blake3:abc")) == said(again(a, own, b"abc")) == "unverified"
+    assert said(again(again(a, own, b"blake3:abc"), b"HTTP/1.1 200", b"HTTP/1.1 201")) == "bad digest"
+    other = again(a, own, warc.digest(b"two").encode())
+    assert said(other) == "bad digest" and said(again(other, b"WARC-Type: response", b"WARC-Type: revisit")) == "ok"
