@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -49,16 +50,29 @@ LAYOUTS = (
     _fixed("question_answer", "question answer", system="system", user="context question", assistant="answer"),
     _fixed("text", "text", assistant="text"),
 )
+_SPECIAL = re.compile(r"[.\[\]\\]")
+_SURROGATE = re.compile("[\ud800-\udfff]")
 ROLES = {"human": "user", "prompter": "user", "customer": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "chatbot": "assistant", "developer": "system"}
 
 
-def paths(value: object, at: str = "") -> set[str]:
-    """The paths of all leaves; an empty object or list is a leaf."""
-    if isinstance(value, dict) and value:
-        return {p for k, v in value.items() for p in paths(v, f"{at}.{k}" if at else k)}
-    if isinstance(value, list) and value:
-        return {p for v in value for p in paths(v, f"{at}[]")}
-    return {at}
+def escaped(key: str) -> str:
+    """A key as it stands in a path: dots, brackets and backslashes are escaped, so no key reads like nesting."""
+    return _SPECIAL.sub(r"\\\g<0>", key)
+
+
+def paths(value: object) -> set[str]:
+    """The paths of all leaves; an empty object or list is a leaf. Nesting of any depth is walked without recursion."""
+    out, todo = set(), [(value, None)]
+    while todo:
+        value, at = todo.pop()
+        if isinstance(value, dict) and value:
+            todo += [(v, escaped(k) if at is None else f"{at}.{escaped(k)}") for k, v in value.items()]
+        elif isinstance(value, list) and value:
+            inner = f"{at or ''}[]"
+            todo += [(v, inner) for v in value]
+        else:
+            out.add(at or "")
+    return out
 
 
 def fingerprint(found: set[str]) -> str:
@@ -66,11 +80,13 @@ def fingerprint(found: set[str]) -> str:
 
 
 def _text(value: object) -> str | None:
-    if value is None or isinstance(value, str):
-        return value
+    if value is None:
+        return None
+    if isinstance(value, str):
+        return value if value.isascii() else _SURROGATE.sub("\ufffd", value)
     if isinstance(value, list):
         return "".join(_text(v.get("text")) or "" if isinstance(v, dict) else _text(v) or "" for v in value)
-    return json.dumps(value, ensure_ascii=False, sort_keys=True)
+    return _SURROGATE.sub("\ufffd", json.dumps(value, ensure_ascii=False, sort_keys=True))
 
 
 def _role(value: object) -> str | None:
@@ -115,14 +131,18 @@ class Formatter:
         if not isinstance(record, dict):
             return fingerprint(paths(record)), "unknown", []
         key, layout = self.layout(paths(record))
-        return (key, layout.name, self.turns(record, layout)) if layout else (key, "unknown", [])
+        try:
+            return (key, layout.name, self.turns(record, layout)) if layout else (key, "unknown", [])
+        except RecursionError:  # a turn's text is itself nested deeper than the JSON library writes
+            return key, "invalid", []
 
 
 def format_chats(records: DataFrame, id_col: str, record_col: str = "record") -> DataFrame:
     """``(<id>, fingerprint, layout, turns)`` for each row; ``turns`` are structs of turn, role and text, from 0.
 
-    A null record has the layout ``missing``, one that isn't JSON ``invalid``, one that no mapping fits
-    ``unknown``; these have no turns. Null texts stay null, empty ones empty; roles are lower case and canonical
+    A null record has the layout ``missing``, one that isn't JSON (or is nested deeper than the JSON library can follow)
+    ``invalid``, one that no mapping fits ``unknown``; these have no turns. A lone surrogate becomes U+FFFD. Keys with dots,
+    brackets or backslashes are keys of their own, never nesting. Null texts stay null, empty ones empty; roles are lower case and canonical
     names. Rows are converted each, repeated or not; null ids stay; other columns aren't carried.
     """
     data = records.select(records[id_col].alias("id"), records[record_col].cast("string").alias("record"))
@@ -140,20 +160,29 @@ def format_chats(records: DataFrame, id_col: str, record_col: str = "record") ->
 
 
 def conversation_records(turns: DataFrame) -> DataFrame:
-    """``(conv_id, record)``: each conversation of ``(conv_id, turn, role, text)`` rows as JSON in the layout that its shape suggests.
+    """``(conv_id, record)``: each conversation of ``(conv_id, turn, role, text)`` rows as JSON in a layout that fits its shape.
 
-    A user's and an assistant's turn make a prompt and response, a system's turn before them an instruction record, longer
-    conversations of users and assistants a from/value list, and all others a message list.
+    A user's and an assistant's turn make a prompt with a response or a completion, or a question with an answer; a system's turn
+    before them an instruction record; longer conversations of users and assistants a from/value or speaker/text list; one assistant's turn
+    a text record; all others a message list, in parts where every text is there. The id's remainder by 3 or 2 chooses among equals (null: 0).
     """
     one = F.struct("turn", "role", "text")
     talks = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("t")).select("conv_id", "t", F.concat_ws(",", F.transform("t", lambda x: F.coalesce(x["role"], F.lit("?")))).alias("roles"))
+    by = lambda n: F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(n))
     text = lambda i: F.col("t")[i]["text"]
-    out = {"ignoreNullFields": "false"}
-    short = F.to_json(F.struct(text(0).alias("prompt"), text(1).alias("response")), out)
-    full = F.forall(F.slice("t", 1, 3), lambda x: F.coalesce(x["text"], F.lit("")) != "")
-    instruct = F.to_json(F.struct(text(0).alias("system"), text(1).alias("instruction"), F.lit("").alias("input"), text(2).alias("output")), out)
+    json_of = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"})
+    pair = lambda a, b: json_of(text(0).alias(a), text(1).alias(b))
+    each = lambda field, f: json_of(F.transform("t", lambda x: F.struct(*f(x))).alias(field))
+    filled = F.forall("t", lambda x: F.coalesce(x["text"], F.lit("")) != "")
+    instruct = json_of(text(0).alias("system"), text(1).alias("instruction"), F.lit("").alias("input"), text(2).alias("output"))
     name = lambda r: F.when(r == "user", "human").otherwise("gpt")
-    listed = F.to_json(F.struct(F.transform("t", lambda x: F.struct(name(x["role"]).alias("from"), x["text"].alias("value"))).alias("conversations")), out)
-    messages = F.to_json(F.struct(F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("messages")), out)
-    record = F.when(F.col("roles") == "user,assistant", short).when((F.col("roles") == "system,user,assistant") & full, instruct).when(F.col("roles").rlike("^(user|assistant)(,(user|assistant))*$"), listed).otherwise(messages)
+    listed = each("conversations", lambda x: (name(x["role"]).alias("from"), x["text"].alias("value")))
+    spoken = each("turns", lambda x: (F.upper(x["role"]).alias("speaker"), x["text"].alias("text")))
+    messages = each("messages", lambda x: (x["role"].alias("role"), x["text"].alias("content")))
+    parts = each("messages", lambda x: (x["role"].alias("role"), F.array(F.struct(F.lit("text").alias("type"), x["text"].alias("text"))).alias("content")))
+    two = F.col("roles") == "user,assistant"
+    many = F.col("roles").rlike("^(user|assistant)(,(user|assistant))*$")
+    record = F.when(two & (by(3) == 0), pair("prompt", "response")).when(two & (by(3) == 1), pair("prompt", "completion")).when(two, pair("question", "answer"))
+    record = record.when((F.col("roles") == "system,user,assistant") & filled, instruct).when(F.col("roles") == "assistant", json_of(text(0).alias("text")))
+    record = record.when(many & (by(2) == 0), listed).when(many, spoken).when(filled & (by(2) == 0), parts).otherwise(messages)
     return talks.select("conv_id", record.alias("record"))

@@ -7,8 +7,12 @@ and the document's id, so a run can be repeated, and no document depends on anot
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,17 +26,29 @@ DEFAULT_WEIGHT = 1.0
 EPOCHS = 1.0
 
 
-def poisson_cdf(rate: Column) -> Column:
-    """P(X <= k) for k = 0, 1, ... until the tail is far under 2**-52; [1.0] for a rate of zero."""
-    top = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    start = F.struct(F.lit(0.0).alias("lf"), F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("cdf"))
+def poisson_cdf(rate: float | None) -> np.ndarray:
+    """P(X <= k) for k = 0, 1, ... until the tail is far under 2**-52; [1.0] for a rate of zero. Linear in the rate."""
+    if not rate or rate <= 0:
+        return np.ones(1)
+    k = np.arange(math.ceil(rate + 12 * math.sqrt(rate) + 30) + 1)
+    return np.cumsum(np.exp(-rate + k * math.log(rate) - np.cumsum(np.log(np.maximum(k, 1)))))
 
-    def step(acc: Column, k: Column) -> Column:
-        lf = acc["lf"] + F.when(k > 0, F.log(k.cast("double"))).otherwise(0.0)
-        total = acc["sum"] + F.exp(-rate + k * F.log(rate) - lf)
-        return F.struct(lf.alias("lf"), total.alias("sum"), F.concat(acc["cdf"], F.array(total)).alias("cdf"))
 
-    return F.when(rate <= 0, F.array(F.lit(1.0))).otherwise(F.aggregate(F.sequence(F.lit(0), top), start, step, lambda a: a["cdf"]))
+def _with_cdf(found: DataFrame) -> DataFrame:
+    """``(source, cdf)`` of ``(source, rate)``: a row for each source, so a handful of arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                cdf = pa.array([poisson_cdf(batch["rate"][i].as_py())], pa.list_(pa.float64()))
+                yield pa.record_batch([batch["source"].slice(i, 1), cdf], names=["source", "cdf"])
+
+    return found.select("source", "rate").mapInArrow(run, "source string, cdf array<double>")
+
+
+def identity(ident: Column, text: Column) -> Column:
+    """What a document draws by: its id, or without one its text."""
+    return F.coalesce(ident.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text.cast("string"), F.lit("")))))
 
 
 def rates(docs: DataFrame, weights: dict[str, float], default_weight: float = DEFAULT_WEIGHT, epochs: float = EPOCHS, source_col: str = "source", size: Column | None = None) -> DataFrame:
@@ -52,14 +68,14 @@ def rates(docs: DataFrame, weights: dict[str, float], default_weight: float = DE
 def _replicated(docs: DataFrame, weights, default_weight, epochs, seed, id_col, source_col, text_col, copy: str, key: str) -> DataFrame:
     found = rates(docs, weights, default_weight, epochs, source_col, word_count(docs[text_col]))
     # Written first, so that its true size decides between broadcast and shuffle before any text moves.
-    found = materialize(found.select("source", poisson_cdf(F.col("rate")).alias("cdf")), "rates")
+    found = materialize(_with_cdf(found), "rates")
     src, cdf, at = fresh(docs, "mix_source", "mix_cdf", "mix_at")
     found = found.select(F.coalesce("source", F.lit("\x00null")).alias(src), F.col("cdf").alias(cdf))
-    u = uniform(seed, docs[id_col])
+    u = uniform(seed, identity(docs[id_col], docs[text_col]))
     drawn = docs.withColumns({src: F.coalesce(docs[source_col].cast("string"), F.lit("\x00null")), at: u}).join(found, src)
     times = F.size(F.filter(F.col(cdf), lambda c: c <= F.col(at)))
     out = drawn.withColumn(copy, times).where(F.col(copy) > 0).withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(copy) - 1)))
-    place = F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(out[id_col].cast("string"), F.lit("null")), out[copy].cast("string"))
+    place = F.concat_ws(":", F.lit(seed), F.lit("order"), identity(out[id_col], out[text_col]), out[copy].cast("string"))
     out = out.withColumn(key, F.substring(F.md5(place), 1, 16)).select(*[F.col(f"`{c}`") for c in docs.columns], copy, key)
     return out.repartition(F.col(key)).sortWithinPartitions(key)
 
@@ -68,7 +84,7 @@ def mix(docs: DataFrame, weights: dict[str, float] = WEIGHTS, default_weight: fl
     """The mixture: the documents' columns, each document as often as drawn, in an order shuffled globally.
 
     Sizes are words of the text (null and empty texts have none, but are drawn like any other document of
-    their source). Rows that repeat an id are each drawn, with the same outcome; a null id draws as ``null``.
+    their source). Rows that repeat an id are each drawn, with the same outcome; a document without an id draws by its text.
     An empty table gives an empty mixture. Columns of any name are carried.
     """
     copy, key = fresh(docs, "mix_copy", "mix_key")

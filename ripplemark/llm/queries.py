@@ -69,9 +69,10 @@ def _md5_unit(*parts: str) -> str:
     return f"(('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
 
 
+_IDENTITY_SQL = "coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))"
 OP1_SQL = f"""
 WITH d AS (SELECT doc_id, source, text, {WORD_COUNT_SQL.format('text')} AS size,
-                  {_md5_unit(f"'{mixing.SEED}'", "coalesce(doc_id::VARCHAR, 'null')")} AS u FROM documents),
+                  {_md5_unit(f"'{mixing.SEED}'", _IDENTITY_SQL)} AS u FROM documents),
 s AS (SELECT source, sum(size)::DOUBLE AS size, CASE source {_WEIGHTS_SQL} ELSE {mixing.DEFAULT_WEIGHT!r}::DOUBLE END AS weight
       FROM d GROUP BY source),
 r AS (SELECT source, CASE WHEN size > 0 THEN weight / (SELECT sum(weight) FROM s) * (SELECT sum(size) FROM s) * {mixing.EPOCHS!r}::DOUBLE / size
@@ -80,7 +81,7 @@ k AS (SELECT source, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 30)::BI
 p AS (SELECT source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf FROM k),
 c AS (SELECT source, list(cdf) AS cdf FROM p GROUP BY source),
 n AS (SELECT d.*, len(list_filter(c.cdf, lambda x: x <= d.u)) AS times FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source)
-SELECT doc_id, source, text, copy, substr(md5(concat_ws(':', '{mixing.SEED}', 'order', coalesce(doc_id::VARCHAR, 'null'), copy::VARCHAR)), 1, 16) AS shuffle_key
+SELECT doc_id, source, text, copy, substr(md5(concat_ws(':', '{mixing.SEED}', 'order', {_IDENTITY_SQL}, copy::VARCHAR)), 1, 16) AS shuffle_key
 FROM (SELECT doc_id, source, text, unnest(range(0, times))::INTEGER AS copy FROM n)
 """
 
@@ -93,11 +94,13 @@ WHERE rank <= {topk.K}
 
 OP5_SQL = """
 WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS turn FROM conversations),
-s AS (SELECT conv_id, string_agg(coalesce(role, '?'), ',' ORDER BY turn) AS roles, bool_and(coalesce(text, '') <> '') AS filled FROM t GROUP BY conv_id)
-SELECT t.conv_id, t.turn::INTEGER AS turn, t.role, t.text,
-       CASE WHEN roles = 'user,assistant' THEN 'prompt_response' WHEN roles = 'system,user,assistant' AND filled THEN 'instruction'
-            WHEN regexp_matches(roles, '^(user|assistant)(,(user|assistant))*$') THEN 'from_value' ELSE 'messages' END AS layout
-FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id
+s AS (SELECT conv_id, string_agg(coalesce(role, '?'), ',' ORDER BY turn) AS roles, bool_and(coalesce(text, '') <> '') AS filled FROM t GROUP BY conv_id),
+l AS (SELECT conv_id, CASE
+        WHEN roles = 'user,assistant' THEN CASE coalesce(conv_id, 0) % 3 WHEN 0 THEN 'prompt_response' WHEN 1 THEN 'prompt_completion' ELSE 'question_answer' END
+        WHEN roles = 'system,user,assistant' AND filled THEN 'instruction' WHEN roles = 'assistant' THEN 'text'
+        WHEN regexp_matches(roles, '^(user|assistant)(,(user|assistant))*$') THEN CASE coalesce(conv_id, 0) % 2 WHEN 0 THEN 'from_value' ELSE 'turns' END
+        WHEN filled AND coalesce(conv_id, 0) % 2 = 0 THEN 'message_parts' ELSE 'messages' END AS layout FROM s)
+SELECT t.conv_id, t.turn::INTEGER AS turn, t.role, t.text, l.layout FROM t JOIN l ON t.conv_id IS NOT DISTINCT FROM l.conv_id
 """
 
 OP10_SQL = "SELECT page_id, url, 'ok' AS status, html FROM pages"

@@ -31,6 +31,20 @@ def test_what_no_layout_fits():
     assert turns({"messages": [None, {"role": None, "content": None}, {"role": "user", "content": "x"}]}, "messages") == [(None, None), ("user", "x")]
 
 
+def test_surrogates_depth_and_odd_keys():
+    assert turns('{"prompt":"\\ud800x","response":"\\ud83d\\ude00"}', "prompt_response") == [("user", "\ufffdx"), ("assistant", "\U0001f600")]
+    assert turns({"messages": [{"role": "\ud800", "content": [{"text": "\udfff"}]}]}, "message_parts") == [("\ufffd", "\ufffd")]
+    assert turns({"prompt": 1, "response": ["\udfff"]}, "unknown") == [] and turns({"prompt": "", "response": 1.5}) == [("user", ""), ("assistant", "1.5")]
+    deep = '{"a":' * 1200 + "1" + "}" * 1200
+    assert turns(deep, "unknown") == []
+    assert turns('{"text":' + deep + "}", "unknown") == []
+    assert chat.Formatter().convert('{"text":"x","a":' + "[" * 5000 + "]" * 5000 + "}")[1] in ("text", "invalid")
+    for record in ({"messages[]": {"role": "user", "content": "x"}}, {"messages[].role": 1, "messages[].content": 2}, {"messages[].role": {"content": 1}}, {"a.b": 1}, {"": {"": 1}}):
+        assert turns(record, "unknown") == []
+    f = lambda x: chat.fingerprint(chat.paths(x))
+    assert len({f({"a.b": 1}), f({"a": {"b": 1}}), f({"a\\.b": 1}), f({"": {"a": 1}}), f({"a": 1}), f({"a[]": 1}), f({"a": [1]})}) == 7
+
+
 def test_fingerprints_depend_on_paths_only():
     f = lambda x: chat.fingerprint(chat.paths(x))
     assert f({"a": 1, "b": [{"c": 2}]}) == f({"b": [{"c": "x"}, {"c": None}], "a": []}) != f({"a": 1, "b": {"c": 2}})
@@ -46,9 +60,16 @@ def test_odd_rows_and_extra_columns(spark):
 
 def test_conversations_come_back_as_they_were(spark):
     data = [(1, 0, "user", "a"), (1, 1, "assistant", None), (2, 0, "system", "s"), (2, 1, "user", "u"), (2, 2, "assistant", "x"), (3, 0, "system", ""), (3, 1, "user", "u"), (3, 2, "assistant", "x")]
-    data += [(4, 0, "user", "a"), (4, 1, "assistant", "b"), (4, 2, "user", "c"), (5, 0, "tool", 'q"\n'), (5, 1, None, "z"), (6, 0, "user", "w " * 50_000), (None, 0, "user", "n"), (7, None, "user", "x"), (7, None, "user", "x")]
+    data += [(4, 0, "user", "a"), (4, 1, "assistant", "b"), (4, 2, "user", "c"), (5, 0, "tool", 'q"\n'), (5, 1, None, "z"), (6, 0, "user", "w " * 50_000), (8, 0, "assistant", "t"), (9, 0, "assistant", None), (None, 0, "user", "n"), (7, None, "user", "x"), (7, None, "user", "x")]
     df = spark.createDataFrame(data, "conv_id bigint, turn bigint, role string, text string")
     out = chat.format_chats(chat.conversation_records(df), "conv_id").selectExpr("conv_id", "inline(turns)")
     want = sorted(((c, None if c == 7 else t, r, x) for c, t, r, x in data), key=repr)
     got = sorted(((r[0], None if r[0] == 7 else r[1], r[2], r[3]) for r in out.collect()), key=repr)
     assert got == want
+
+
+def test_every_layout_is_met(spark):
+    data = [(c, i, r, "x") for c in range(6) for i, r in enumerate(("user", "assistant"))] + [(c, i, r, "x") for c in (10, 11) for i, r in enumerate(("user", "assistant", "user"))]
+    data += [(12, 0, "assistant", "x"), *((13, i, r, "x") for i, r in enumerate(("system", "user", "assistant"))), (14, 0, "tool", "x"), (15, 0, "tool", "x")]
+    df = spark.createDataFrame(data, "conv_id bigint, turn bigint, role string, text string")
+    assert {r[0] for r in chat.format_chats(chat.conversation_records(df), "conv_id").select("layout").collect()} == {x.name for x in chat.LAYOUTS}

@@ -49,6 +49,23 @@ def test_the_order_mixes_sources(spark):
     assert len({r[0] for r in got}) >= 15
 
 
+def test_documents_without_an_id_are_drawn_apart(spark):
+    df = spark.createDataFrame([(None, f"word number {i}", "a") for i in range(400)], "doc_id bigint, text string, source string")
+    got = Counter(Counter(r[0] for r in mixing.mix(df, {}).select("text").collect()).values())
+    assert 80 < got[1] < 220 and 30 < got[2] < 120 and 250 < 400 - sum(got.values()) + 150 < 400
+
+
+def test_the_distribution_is_exact_and_linear_in_the_rate():
+    assert mixing.poisson_cdf(0.0).tolist() == mixing.poisson_cdf(None).tolist() == [1.0]
+    for rate in (0.01, 1.0, 7.5, 300.0):
+        want, term = 0.0, math.exp(-rate)
+        for k, got in enumerate(mixing.poisson_cdf(rate)):
+            want += term
+            term *= rate / (k + 1)
+            assert abs(got - want) < 1e-11
+    assert abs(mixing.poisson_cdf(2e6)[-1] - 1) < 1e-6
+
+
 def test_odd_rows(spark):
     docs = odd_docs(spark)
     out = mixing.mix(docs, {"src0": 4.0}, epochs=30.0)
