@@ -1,8 +1,9 @@
 """WARC files: a sequential reader and the writer that its round trip needs.
 
-One gzip member holds one record. The reader asks a stream for a chunk at a time, inflates
-incrementally, frames the block by Content-Length and verifies block and payload digests (SHA-1, SHA-256 or MD5, in base 32 or hexadecimal, of any letter case).
-A damaged member is reported and skipped: reading goes on at the next member's magic.
+One gzip member holds one record. The reader asks a stream for a chunk at a time, inflates it piece by piece, frames the block by
+Content-Length and verifies block and payload digests (SHA-1, SHA-256 or MD5, in base 32 or hexadecimal, of any letter case) as the bytes
+come. Of a record only the payload is held: neither its compressed bytes nor a second copy.
+A damaged member is reported and skipped: the stream is set back behind its start and reading goes on at the next member's magic.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 
 MAGIC = b"\x1f\x8b\x08"
 READ_BYTES = 1 << 18
+#: Bytes that are inflated at a time.
+STEP_BYTES = 1 << 22
 #: A file is closed when it has so many bytes.
 FILE_BYTES = 1 << 28
 LEVEL = 6
@@ -35,13 +38,8 @@ def digest(data: bytes) -> str:
 _ALGORITHMS = {"sha1": hashlib.sha1, "sha256": hashlib.sha256, "md5": hashlib.md5}
 
 
-def holds(told: str, data: bytes) -> bool | None:
-    """Whether a told digest is the data's; None where its algorithm isn't known."""
-    kind, _, value = told.partition(":")
-    algorithm = _ALGORITHMS.get(kind.strip().lower().replace("-", ""))
-    if algorithm is None:
-        return None
-    own, value = algorithm(data).digest(), value.strip()
+def _equal(value: str, own: bytes) -> bool:
+    """Whether a digest written in base 32 or hexadecimal, in any letter case, is ``own``."""
     return value.lower() == own.hex() or value.upper().rstrip("=") == base64.b32encode(own).decode().rstrip("=")
 
 
@@ -63,89 +61,130 @@ def encode_record(record_id: str, url: str | None, payload: bytes | None, date:
     return squeeze.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + squeeze.flush()
 
 
-def parse_record(data: bytes) -> dict:
-    """Header fields, payload and status of an inflated record."""
-    head, gap, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8", "replace").split("\r\n")
-    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-    out = {
-        "record_id": fields.get("warc-record-id", "").strip("<>") or None, "record_type": fields.get("warc-type"), "url": fields.get("warc-target-uri"),
-        "date": fields.get("warc-date"), "content_length": None, "status": "ok", "payload": None,
-    }
-    length = fields.get("content-length", "")
-    if not gap or not lines[0].startswith("WARC/") or not length.isdecimal():
-        return out | {"status": "bad header"}
-    size = int(length)
-    block, tail = rest[:size], rest[size:]
-    out["content_length"] = size
-    if len(block) < size:
-        return out | {"status": "truncated"}
-    if tail != b"\r\n\r\n":
-        return out | {"status": "bad framing"}
-    payload = block
-    if fields.get("content-type", "").startswith("application/http"):
-        payload = block.partition(b"\r\n\r\n")[2]
-    elif out["record_type"] == "metadata" and not size:
-        payload = None
-    out["payload"] = payload
-    for name, data in (("warc-block-digest", block), ("warc-payload-digest", payload or b"")):
-        # A revisit's payload digest is that of the record it points to.
-        if not (told := fields.get(name)) or (name == "warc-payload-digest" and (out["record_type"] or "").lower() == "revisit"):
-            continue
-        held = holds(told, data)
-        if held is False:
-            return out | {"status": "bad digest"}
-        if held is None:
-            out["status"] = "unverified"
-    return out
+class Record:
+    """A record that comes in pieces: header fields, then a block framed by its length, then the two empty lines."""
+
+    def __init__(self) -> None:
+        self.head: bytearray | None = bytearray()
+        self.fields: dict[str, str] = {}
+        self.bad: str | None = None
+        self.size = self.got = 0
+        self.payload, self.tail = bytearray(), bytearray()
+        self.http: bytearray | None = None  # the head of a response, until its empty line
+        self.digests: list[tuple[str, str, object]] = []
+
+    def feed(self, data: bytes) -> None:
+        if self.head is None:
+            return self._block(data)
+        seen = max(0, len(self.head) - 3)
+        self.head += data
+        end = self.head.find(b"\r\n\r\n", seen)
+        if end >= 0:
+            rest = bytes(self.head[end + 4 :])
+            self._header(bytes(self.head[:end]))
+            self.head = None
+            self._block(rest)
+
+    def _header(self, head: bytes) -> None:
+        lines = head.decode("utf-8", "replace").split("\r\n")
+        self.fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        length = self.fields.get("content-length", "")
+        if not lines[0].startswith("WARC/") or not length.isdecimal():
+            self.bad = "bad header"
+            return
+        self.size = int(length)
+        if self.fields.get("content-type", "").startswith("application/http"):
+            self.http = bytearray()
+        revisit = self.fields.get("warc-type", "").lower() == "revisit"
+        for name in ("warc-block-digest", "warc-payload-digest"):
+            # A revisit's payload digest is that of the record it points to.
+            if (told := self.fields.get(name)) and not (revisit and name == "warc-payload-digest"):
+                kind, _, value = told.partition(":")
+                make = _ALGORITHMS.get(kind.strip().lower().replace("-", ""))
+                self.digests.append((name, value.strip(), make and make()))
+
+    def _hash(self, name: str, data: bytes) -> None:
+        for told, _, engine in self.digests:
+            if told == name and engine:
+                engine.update(data)
+
+    def _block(self, data: bytes) -> None:
+        if self.bad:
+            return
+        body, rest = data[: self.size - self.got], data[self.size - self.got :]
+        self.got += len(body)
+        self.tail += rest[: 5 - len(self.tail)] if len(self.tail) < 5 else b""
+        self._hash("warc-block-digest", body)
+        if self.http is not None:
+            seen = max(0, len(self.http) - 3)
+            self.http += body
+            end = self.http.find(b"\r\n\r\n", seen)
+            if end < 0:
+                return
+            body, self.http = bytes(self.http[end + 4 :]), None
+        self._hash("warc-payload-digest", body)
+        self.payload += body
+
+    def result(self) -> dict:
+        f = self.fields
+        out = {
+            "record_id": f.get("warc-record-id", "").strip("<>") or None, "record_type": f.get("warc-type"), "url": f.get("warc-target-uri"),
+            "date": f.get("warc-date"), "content_length": None, "status": "ok", "payload": None,
+        }
+        if self.head is not None or self.bad:
+            return out | {"status": "bad header"}
+        out["content_length"] = self.size
+        if self.got < self.size:
+            return out | {"status": "truncated"}
+        if self.tail != b"\r\n\r\n":
+            return out | {"status": "bad framing"}
+        out["payload"] = None if out["record_type"] == "metadata" and not self.size else bytes(self.payload)
+        for _, value, engine in self.digests:
+            if engine is None:
+                out["status"] = "unverified"
+            elif not _equal(value, engine.digest()):
+                return out | {"status": "bad digest"}
+        return out
 
 
 def read_records(stream: BinaryIO, read_bytes: int = READ_BYTES) -> Iterator[dict]:
-    """The records of a stream in order, one in memory at a time, with the offset of each one's member."""
-    buffer, offset, ended = b"", 0, False
-
-    def fill() -> bool:
-        nonlocal buffer, ended
-        more = b"" if ended else stream.read(read_bytes)
-        ended = not more
-        buffer += more
-        return bool(more)
-
-    while buffer or fill():
-        while len(buffer) < 3 and fill():
-            pass
-        if not buffer.startswith(MAGIC):
-            while (k := buffer.find(MAGIC, 1)) < 0 and fill():
-                pass
-            yield {"offset": offset, "status": "bad member"}
-            k = len(buffer) if k < 0 else k
-            buffer, offset = buffer[k:], offset + k
-            continue
-        inflate, parts, used = zlib.decompressobj(31), [], 0
+    """The records of a seekable stream in order, one in memory at a time, with the offset of each one's member."""
+    at = 0  # the member's offset
+    data = stream.read(read_bytes)
+    while data:
+        inflate, record, used, failed = zlib.decompressobj(31), Record(), 0, False
+        piece = data
         try:
-            piece = buffer
             while True:
-                parts.append(inflate.decompress(piece))
                 used += len(piece)
-                if inflate.eof:
-                    break
-                if not (piece := b"" if ended else stream.read(read_bytes)):
-                    ended = True
+                out = inflate.decompress(piece, STEP_BYTES)
+                while out or inflate.unconsumed_tail:
+                    record.feed(out)
+                    out = inflate.decompress(inflate.unconsumed_tail, STEP_BYTES) if inflate.unconsumed_tail else b""
+                if inflate.eof or not (piece := stream.read(read_bytes)):
                     break
-                buffer += piece
         except zlib.error:
-            while (k := buffer.find(MAGIC, 1)) < 0 and fill():
-                pass
-            yield {"offset": offset, "status": "bad member"}
-            k = len(buffer) if k < 0 else k
-            buffer, offset = buffer[k:], offset + k
+            failed = True
+        if not failed and inflate.eof:
+            yield {"offset": at} | record.result()
+            at += used - len(inflate.unused_data)
+            data = inflate.unused_data or stream.read(read_bytes)
             continue
-        if not inflate.eof:
-            yield {"offset": offset, "status": "truncated"}
+        if not failed and used >= 3:
+            yield {"offset": at, "status": "truncated"}
+            return
+        yield {"offset": at, "status": "bad member"}
+        stream.seek(at + 1)
+        at, data = at + 1, b""
+        while True:
+            more = stream.read(read_bytes)
+            data += more
+            if (k := data.find(MAGIC)) >= 0 or not more:
+                break
+            at, data = at + max(0, len(data) - 2), data[-2:]
+        if k < 0:
             return
-        member = used - len(inflate.unused_data)
-        yield {"offset": offset} | parse_record(b"".join(parts))
-        buffer, offset = inflate.unused_data, offset + member
+        at, data = at + k, data[k:]
 
 
 def _open(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -162,7 +201,8 @@ def write_warc(records: DataFrame, path: str, level: int = LEVEL, file_bytes: in
     """Write rows of ``(record_id, url, payload)`` as ``*.warc.gz`` files and return how many records were written.
 
     Files are named by partition and written under another name first, so a task that is repeated replaces its own files.
-    Null ids become ``null``, null urls no field, null payloads metadata records.
+    Null ids become ``null``, null urls no field, null payloads metadata records. A header field has one line without blanks at its
+    ends: line ends in an address are written as ``%0D`` and ``%0A`` and come back so, and blanks at its ends are lost.
     """
     data = records.select(F.col("record_id").cast("string"), F.col("url").cast("string"), F.col("payload").cast("binary"))
 
@@ -194,7 +234,7 @@ def write_warc(records: DataFrame, path: str, level: int = LEVEL, file_bytes: in
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """All records of the ``*.warc.gz`` files under ``path``, a task a file; ``status`` is ``ok``, ``unverified`` (a digest of an unknown algorithm) or what is wrong with the record.
+    """All records of the ``*.warc.gz`` files under ``path``, each file read by one task (small files may share one); ``status`` is ``ok``, ``unverified`` (a digest of an unknown algorithm) or what is wrong with the record.
 
     Damaged members have a row with an offset and a status only; a folder without files gives an empty table.
     """
@@ -205,7 +245,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for uri in (u.as_py() for b in batches for u in b["path"]):
             fs, at = _open(uri)
-            with fs.open_input_stream(at, compression=None) as stream:
+            with fs.open_input_file(at) as stream:
                 rows, size = [], 0
                 for r in read_records(stream):
                     rows.append((uri, r["offset"], *[r.get(c) for c in names[2:]]))

@@ -35,6 +35,35 @@ def test_damage_is_reported_and_skipped():
     assert said(b"") == []
 
 
+def test_a_large_record_takes_time_in_proportion_and_its_payload_alone():
+    import os
+    import time
+    import tracemalloc
+
+    took = []
+    for mb in (8, 64):
+        blob = b"".join(members(("a", "u", os.urandom(mb << 20)), ("b", "u", b"x")))
+        began = time.perf_counter()
+        assert [r["status"] for r in warc.read_records(io.BytesIO(blob))] == ["ok", "ok"]
+        took.append(time.perf_counter() - began)
+    assert took[1] < 16 * took[0] + 1
+    wide = b"".join(members(("a", "u", bytes(256 << 20))))  # 256 MB from a few hundred KB
+    tracemalloc.start()
+    assert sum(len(r["payload"]) for r in warc.read_records(io.BytesIO(wide))) == 256 << 20
+    assert tracemalloc.get_traced_memory()[1] < 700 << 20
+    tracemalloc.stop()
+
+
+def test_what_follows_a_damaged_large_member():
+    import os
+
+    a, b = members(("a", "u", os.urandom(3 << 20)), ("b", "u", b"two"))
+    broken = bytearray(a)
+    broken[-6] ^= 255
+    got = [r for r in warc.read_records(io.BytesIO(bytes(broken) + b)) if r["status"] != "bad member"]
+    assert [(r["status"], r["offset"], r["payload"]) for r in got] == [("ok", len(a), b"two")]
+
+
 def again(member, old, new):
     return gzip.compress(gzip.decompress(member).replace(old, new))
 
