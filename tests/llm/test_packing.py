@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from common import LONG, odd_docs, rows
 
-from ripplemark.llm import packing
+from ripplemark.llm import packing, queries
 from ripplemark.llm.shared import read
 
 
@@ -28,6 +28,54 @@ def test_the_linear_program_covers_each_class_once():
     assert np.dot(sizes, counts) / 10 - 1e-9 <= bins <= np.dot(sizes, counts) / 10 * 1.2
 
 
+def slow_best_fit(histogram, capacity):
+    bins = []
+    for s in sorted(histogram, reverse=True):
+        for _ in range(histogram[s]):
+            at = min((i for i, room in enumerate(bins) if room >= s), key=lambda i: bins[i], default=None)
+            if at is None:
+                bins.append(capacity)
+                at = -1
+            bins[at] -= s
+    return len(bins)
+
+
+def laid_out(segments, histogram):
+    """``{bin: [(slot, size)]}`` of a plan."""
+    bins = defaultdict(list)
+    for size, rows_ in segments.items():
+        ends = [r[0] for r in rows_[1:]] + [histogram[size]]
+        for (rank, first, copies, slot), end in zip(rows_, ends):
+            for off in range(end - rank):
+                bins[first + off // copies].append((slot + off % copies, size))
+    return bins
+
+
+def test_plans_are_valid_and_need_no_more_bins_than_best_fit():
+    rng = np.random.default_rng(1)
+    made = {
+        "all sizes": {int(k): int(rng.integers(1, 60)) for k in range(1, 65)}, "thirds": {int(k): int(rng.integers(1, 300)) for k in range(15, 35)},
+        "few": {7: 100, 31: 50, 33: 50}, "one": {64: 9}, "small": {1: 1000}, "skewed": {k: 4000 // k for k in range(1, 65)},
+    }
+    for name, histogram in made.items():
+        segments, n = packing.plan(histogram, 64)
+        bins = laid_out(segments, histogram)
+        assert sorted(bins) == list(range(n)), name
+        for held in bins.values():
+            assert sorted(s for s, _ in held) == list(range(len(held))) and sum(s for _, s in held) <= 64
+        fit = slow_best_fit(histogram, 64)
+        assert packing.best_fit_decreasing(histogram, 64).bins == fit
+        assert -(-sum(s * c for s, c in histogram.items()) // 64) <= n <= fit, name
+    thirds = packing.plan(made["thirds"], 64)[1]
+    assert thirds < 0.99 * slow_best_fit(made["thirds"], 64)  # the program is worth having where three pieces fill a bin
+
+
+def test_odd_capacities_are_kept(spark):
+    df = spark.createDataFrame([(i, " ".join(["w"] * n)) for i, n in enumerate((1, 2049, 2050, 2051, 5000, 300, 1025))], "doc_id bigint, text string")
+    for capacity in (1, 7, 257, 2050):
+        checked(packing.pack(df, capacity).collect(), {i: n for i, n in enumerate((1, 2049, 2050, 2051, 5000, 300, 1025))}, capacity)
+
+
 def checked(out, lengths, capacity):
     """Every piece of every document once, in place; no bin over its capacity; slots from 0."""
     bins, pieces = defaultdict(list), defaultdict(list)
@@ -50,7 +98,12 @@ def checked(out, lengths, capacity):
 def test_whole_table(spark):
     docs = read(spark, "/root/testdata/sf0.01", "documents")
     lengths = {r["doc_id"]: len(r["text"].split()) for r in docs.collect()}
-    n = checked(packing.pack(docs).collect(), lengths, packing.CAPACITY)
+    out = packing.pack(docs).collect()
+    n = checked(out, lengths, packing.CAPACITY)
+    got = queries.QUERIES["op4_packing"](spark, "/root/testdata/sf0.01").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, out), key=repr)
+    histogram = Counter(-(-min(packing.CAPACITY, r["n_tokens"]) // 8) for r in out if r["n_tokens"])
+    assert n <= slow_best_fit(histogram, 256)
     assert n <= 1.06 * sum(lengths.values()) / packing.CAPACITY + 2
 
 
