@@ -1,7 +1,8 @@
 """Media columns: PNG images in binary columns, read with zlib and numpy, and perceptual hashes of them.
 
 Images of one geometry are unfiltered together: each step works on a row, or for the averaging and Paeth
-filters on a pixel, of all of them. The hash is the sign pattern of the low frequencies of the
+filters on a pixel, of all of them. Large and interlaced images are read a band of rows at a time, so an image of any size needs the memory of
+a band (one row at least). The hash is the sign pattern of the low frequencies of the
 cosine transform, against their median: 8 bytes in a binary column.
 """
 
@@ -20,8 +21,10 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 DEPTHS = {0: (1, 2, 4, 8, 16), 2: (8, 16), 3: (1, 2, 4, 8), 4: (8, 16), 6: (8, 16)}
 SIDE, LOW = 32, 8
-#: Decoded bytes of one image, and of the images unfiltered together.
-MAX_BYTES, BATCH_BYTES = 1 << 28, 1 << 24
+#: Decoded bytes of the images unfiltered together; a larger one is read in bands of so many.
+BATCH_BYTES = 1 << 24
+#: First column and row, and steps, of the passes of an interlaced image.
+PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
 
 
 @dataclass
@@ -33,7 +36,10 @@ class Raw:
     depth: int
     color: int
     palette: np.ndarray | None
-    lines: np.ndarray
+    #: None for an image that is read in bands, from ``parts``.
+    lines: np.ndarray | None
+    parts: tuple[bytes, ...] = ()
+    interlaced: bool = False
 
     @property
     def pixel(self) -> int:
@@ -74,8 +80,8 @@ def parse_png(data: bytes | None) -> tuple[str, Raw | None]:
     if data[:8] != SIGNATURE:
         return "not a png", None
     at, head, palette, ended = 8, None, None, False
-    inflate, parts = zlib.decompressobj(), []
-    room = 0
+    inflate, parts, packed = zlib.decompressobj(), [], []
+    room, whole = 0, True
     try:
         while at < len(data) and not ended:
             if at + 12 > len(data):
@@ -92,16 +98,17 @@ def parse_png(data: bytes | None) -> tuple[str, Raw | None]:
                     return "bad header", None
                 head = struct.unpack(">IIBBBBB", body)
                 w, h, depth, color, method, filtering, interlace = head
-                if not w or not h or depth not in DEPTHS.get(color, ()) or method or filtering:
+                if not w or not h or depth not in DEPTHS.get(color, ()) or method or filtering or interlace > 1:
                     return "bad header", None
                 stride = (w * CHANNELS[color] * depth + 7) // 8
                 room = h * (stride + 1)
-                if interlace or room > MAX_BYTES:
-                    return "unsupported", None
+                whole = not interlace and room <= BATCH_BYTES
             elif not head:
                 return "bad header", None
             elif kind == b"PLTE":
                 palette = np.frombuffer(body[: size // 3 * 3], np.uint8).reshape(-1, 3)
+            elif kind == b"IDAT" and not whole:
+                packed.append(body)
             elif kind == b"IDAT":
                 parts.append(inflate.decompress(body, room + 1))
                 room -= len(parts[-1])
@@ -113,18 +120,97 @@ def parse_png(data: bytes | None) -> tuple[str, Raw | None]:
         return "bad data", None
     if not ended or not head:
         return "truncated", None
+    if color == 3 and palette is None:
+        return "bad data", None
+    if not whole:
+        return "ok", Raw(w, h, depth, color, palette, None, tuple(packed), bool(interlace))
     lines = np.frombuffer(b"".join(parts), np.uint8)
-    if room or not inflate.eof or (color == 3 and palette is None):
+    if room or not inflate.eof:
         return "bad data", None
     lines = lines.reshape(h, stride + 1)
     return ("ok", Raw(w, h, depth, color, palette, lines)) if lines[:, 0].max() <= 4 else ("bad data", None)
 
 
-def unfilter(lines: np.ndarray, pixel: int) -> np.ndarray:
-    """Bytes ``(images, height, stride)`` of filtered scanlines ``(images, height, stride + 1)``; ``pixel``: bytes a pixel."""
+class Inflater:
+    """The bytes behind an image's compressed parts, so many at a time."""
+
+    def __init__(self, parts: tuple[bytes, ...]):
+        self.parts, self.engine, self.held = iter(parts), zlib.decompressobj(), b""
+
+    def take(self, n: int) -> bytes:
+        out = []
+        while n > 0:
+            if not self.held and (part := next(self.parts, None)) is None:
+                raise zlib.error("too little data")
+            elif not self.held:
+                self.held = part
+            got = self.engine.decompress(self.held, n)
+            self.held = self.engine.unconsumed_tail
+            if self.engine.eof and len(got) < n:
+                raise zlib.error("too little data")
+            out.append(got)
+            n -= len(got)
+        return b"".join(out)
+
+    def finish(self) -> None:
+        """The stream has to end here."""
+        for part in (self.held, *self.parts):
+            if not self.engine.eof and self.engine.decompress(part, 1):
+                raise zlib.error("too much data")
+        if not self.engine.eof:
+            raise zlib.error("no end")
+
+
+class Grid:
+    """Gray values of an image that comes in parts, summed over SIDE x SIDE cells (fewer where it has fewer pixels)."""
+
+    def __init__(self, width: int, height: int):
+        self.size = height, width
+        self.edges = [np.arange(min(n, SIDE)) * n // min(n, SIDE) for n in self.size]
+        self.sums = np.zeros([len(e) for e in self.edges])
+
+    def add(self, ys: np.ndarray, xs: np.ndarray, values: np.ndarray) -> None:
+        y, x = (np.searchsorted(e, at, "right") - 1 for e, at in zip(self.edges, (ys, xs)))
+        first = [np.flatnonzero(np.diff(c, prepend=-1)) for c in (y, x)]
+        part = np.add.reduceat(np.add.reduceat(values, first[1], axis=1), first[0], axis=0)
+        self.sums[np.ix_(y[first[0]], x[first[1]])] += part
+
+    def image(self) -> np.ndarray:
+        """What ``shrink`` makes of the whole image."""
+        lens = [np.diff(np.append(e, n)) for e, n in zip(self.edges, self.size)]
+        return shrink(self.sums / np.outer(*lens))
+
+
+def banded(image: Raw) -> np.ndarray:
+    """The SIDE x SIDE gray image of one that is read in bands; zlib.error where its data don't fit."""
+    source, grid = Inflater(image.parts), Grid(image.width, image.height)
+    for x0, y0, dx, dy in PASSES if image.interlaced else ((0, 0, 1, 1),):
+        w, h = -(-(image.width - x0) // dx), -(-(image.height - y0) // dy)
+        if w <= 0 or h <= 0:
+            continue
+        stride = (w * CHANNELS[image.color] * image.depth + 7) // 8
+        step = max(1, BATCH_BYTES // (8 * (stride + 1)))
+        above = np.zeros((1, stride), np.uint8)
+        for y in range(0, h, step):
+            n = min(step, h - y)
+            lines = np.frombuffer(source.take(n * (stride + 1)), np.uint8).reshape(1, n, stride + 1)
+            if lines[0, :, 0].max() > 4:
+                raise zlib.error("unknown filter")
+            rows = unfilter(lines, image.pixel, above)[0]
+            above = rows[-1:]
+            pixels = samples(Raw(w, n, image.depth, image.color, image.palette, None), rows)
+            grid.add(y0 + dy * np.arange(y, y + n), x0 + dx * np.arange(w), gray(pixels))
+    source.finish()
+    return grid.image()
+
+
+def unfilter(lines: np.ndarray, pixel: int, above: np.ndarray | None = None) -> np.ndarray:
+    """Bytes ``(images, height, stride)`` of filtered scanlines ``(images, height, stride + 1)``; ``pixel``: bytes a pixel, ``above``: the rows before."""
     kinds, data = lines[:, :, 0], lines[:, :, 1:]
     n, h, stride = data.shape
     out = np.zeros((n, h + 1, stride), np.uint8)
+    if above is not None:
+        out[:, 0] = above
     for r in range(h):
         up, line, row = out[:, r], data[:, r], out[:, r + 1]
         kind = kinds[:, r]
@@ -204,7 +290,12 @@ def describe(blobs: list[bytes | None]) -> list[tuple[str, int | None, int | Non
     out = [(status, None, None, None, None) for status, _ in parsed]
     alike: dict[tuple, list[int]] = {}
     for i, (_, image) in enumerate(parsed):
-        if image:
+        if image and image.lines is None:
+            try:
+                out[i] = ("ok", image.width, image.height, 3 if image.color == 3 else CHANNELS[image.color], phash(banded(image)[None])[0])
+            except zlib.error:
+                out[i] = ("bad data", None, None, None, None)
+        elif image:
             alike.setdefault((image.lines.shape, image.pixel), []).append(i)
     for (shape, pixel), members in alike.items():
         step = max(1, BATCH_BYTES // (shape[0] * shape[1]))
@@ -225,7 +316,7 @@ def describe_images(images: DataFrame, id_col: str, image_col: str = "image") ->
     """``(<id>, status, width, height, channels, phash)`` for each row of a binary column of PNG images.
 
     ``status`` says why an image can't be read (missing, not a png, truncated, bad checksum, bad header, bad
-    data, unsupported: interlaced or over MAX_BYTES); the rest is then null. Rows are read each, repeated or not;
+    data); the rest is then null. Images of any size, interlaced or not, are read. Rows are read each, repeated or not;
     null ids stay; other columns aren't carried; empty in, empty out.
     """
     data = images.select(images[id_col].alias("id"), images[image_col].cast("binary").alias("image"))

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 from common import rows
 
-from ripplemark.llm import media
+from ripplemark.llm import media, queries
 
 
 def chunk(kind, data):
@@ -73,7 +73,55 @@ def test_statuses():
     assert said(png(4, 1, 8, 0, b"\x00abcdefgh")) == "bad data"
     assert said(png(4, 1, 8, 3, b"\x00abcd")) == "bad data"
     assert said(png(4, 1, 7, 0, b"\x00abcd")) == said(png(0, 1, 8, 0, b"\x00")) == "bad header"
-    assert said(png(4, 1, 8, 0, b"\x00abcd", interlace=1)) == "unsupported"
+    assert said(png(4, 1, 8, 0, b"\x00abcd", interlace=2)) == "bad header"
+    assert media.describe([png(4, 1, 8, 0, b"\x00abc", interlace=1), png(4, 1, 8, 0, b"\x00abcd" * 9, interlace=1)]) == [("bad data", None, None, None, None)] * 2
+
+
+def interlaced(image, filters=(0,)):
+    """An 8-bit interlaced PNG, its passes filtered as images of their own."""
+    image = image[:, :, None] if image.ndim == 2 else image
+    lines = b""
+    for x, y, dx, dy in media.PASSES:
+        part = image[y::dy, x::dx]
+        if part.size:
+            lines += media.parse_png(media.encode_png(part, filters))[1].lines.tobytes()
+    return png(image.shape[1], image.shape[0], 8, {1: 0, 2: 4, 3: 2, 4: 6}[image.shape[2]], lines, interlace=1)
+
+
+def test_interlaced_and_large_images_hash_like_whole_ones(monkeypatch):
+    rng = np.random.default_rng(7)
+    images = [rng.integers(0, 256, shape, np.uint8) for shape in ((1, 1), (3, 5), (8, 8, 3), (33, 70, 4), (64, 40, 2), (5, 90), (90, 5), (100, 100))]
+    images.append(np.kron(rng.integers(0, 256, (8, 8)), np.ones((40, 30))).astype(np.uint8))
+    whole = media.describe([media.encode_png(x, (0, 1, 2, 3, 4)) for x in images])
+    assert all(r[0] == "ok" for r in whole)
+    assert media.describe([interlaced(x, (0, 1, 2, 3, 4)) for x in images]) == whole
+    monkeypatch.setattr(media, "BATCH_BYTES", 600)
+    assert media.describe([media.encode_png(x, (0, 1, 2, 3, 4)) for x in images]) == whole
+    tall = np.zeros((3000, 40), np.uint8)
+    short = bytearray(media.encode_png(tall))
+    assert media.parse_png(bytes(short))[1].lines is None
+    assert media.describe([png(40, 3000, 8, 0, bytes(41 * 2999)), png(40, 3000, 8, 0, bytes(41 * 3000 + 1)), png(40, 3000, 8, 0, b"\x07" * 41 * 3000)]) == [("bad data", None, None, None, None)] * 3
+
+
+def slow_hash(pixels):
+    """The definition: means over the grid, cosine sums, signs against the median of all but the mean."""
+    h, w = pixels.shape
+    cell = lambda n, i: range(i * n // 32, max((i + 1) * n // 32, i * n // 32 + 1)) if n >= 32 else (i * n // 32,)
+    small = [[np.mean([pixels[y, x] for y in cell(h, i) for x in cell(w, j)]) for j in range(32)] for i in range(32)]
+    cos = [[np.cos(np.pi * (i + 0.5) * k / 32) for i in range(32)] for k in range(8)]
+    low = [round(sum(cos[k][i] * cos[m][j] * small[i][j] for i in range(32) for j in range(32)), 6) for k in range(8) for m in range(8)]
+    middle = np.median(low[1:])
+    return bytes(int("".join("1" if n and v > middle else "0" for n, v in list(enumerate(low))[s : s + 8]), 2) for s in range(0, 64, 8))
+
+
+def test_the_query_against_the_definition(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {r["vec_id"]: r for r in queries.QUERIES["op6_media"](spark, sf).collect()}
+    vectors = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    assert got.keys() == vectors.keys() and all((r["status"], r["width"], r["height"], r["channels"]) == ("ok", 32, 32, 1) for r in got.values())
+    for k in sorted(vectors)[::25]:
+        x = np.clip(np.round(np.clip(np.array(vectors[k], float), -1, 1) * 255 + 127.5), 0, 255)
+        assert bytes(got[k]["phash"]) == slow_hash(np.kron(x.reshape(8, 8), np.ones((4, 4))))
 
 
 def test_hash_survives_scaling_and_noise_and_tells_images_apart():
