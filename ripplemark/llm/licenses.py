@@ -3,12 +3,16 @@
 A notice that may differ by k edits is cut into k + 1 seeds; wherever it occurs with k edits at most, one of
 the seeds occurs unchanged (pigeonhole). One automaton finds all seeds of all notices in a single pass over
 the text; around each hit the ``regex`` library matches the whole notice with at most k insertions, deletions and substitutions.
+Line ends with the comment marks behind them and runs of blanks count as one blank, so wrapped and commented notices are found; spans are
+those of the text as it is.
 Notices of other versions and variants lie within k edits of each other, so all that are known compete: of matches
 of one span only those with the fewest edits stay.
 """
 
 from __future__ import annotations
 
+import bisect
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -39,6 +43,12 @@ NOTICES = {
     **{f"cc-by-{v}": f"Creative Commons Attribution {v} International" for v in ("1.0", "2.0", "2.5", "3.0")},
     **{f"cc-by-nc-{v}": f"Licensed under CC BY-NC {v}" for v in ("1.0", "2.0", "2.5", "3.0")},
     **{f"cc-by-{kind}-{v}": f"Licensed under CC BY-{kind.upper()} {v}" for kind in ("sa", "nd") for v in ("1.0", "2.0", "2.5", "3.0", "4.0")},
+    "zlib": "must be plainly marked as such, and must not be misrepresented",
+    "bsl-1.0": "Boost Software License - Version 1.0",
+    "epl-2.0": "Eclipse Public License v2.0",
+    "epl-1.0": "Eclipse Public License v1.0",
+    "artistic-2.0": "The Artistic License 2.0",
+    "cc0-1.0": "dedicated all copyright and related and neighboring rights",
     "unlicense": "This is free and unencumbered software released into the public domain",
 }
 #: Characters of a notice for each edit that is allowed.
@@ -52,6 +62,43 @@ def lower(text: str) -> str:
     return low if len(low) == len(text) else text.translate(_LOWER)
 
 
+_GAP = re.compile(r"[\n\t\r\f\v\u00a0\u2028]|  ")
+_MARK = r"(?:/\*|//|--|\.\.|[*#;%!|>\"]|dnl(?=\s)|rem(?=\s))[*#;/%!|>-]*(?=\s)"
+#: What goes on a gap: blanks, and comment marks at the beginning of a line.
+_REST = re.compile(rf"(?:(?<=[\n\r])[ \t]*{_MARK}|\s+)")
+
+
+class Flat:
+    """A lower-case text with one blank for each gap, and where its characters were."""
+
+    def __init__(self, text: str):
+        low = lower(text)
+        self.at, self.was = [0], [0]
+        if not _GAP.search(low):
+            self.text = low
+            return
+        parts, done, size = [], 0, 0
+        while m := _GAP.search(low, done):
+            start = m.start()
+            while start > done and low[start - 1] == " ":
+                start -= 1
+            # A gap with a line end goes on behind the comment marks of the next line.
+            end = m.end()
+            while more := _REST.match(low, end):
+                end = more.end()
+            parts += [low[done:start], " "]
+            size += start - done
+            self.at += [size, size + 1]
+            self.was += [start, end]
+            size, done = size + 1, end
+        self.text = "".join(parts) + low[done:]
+
+    def span(self, start: int, end: int) -> tuple[int, int]:
+        """The span in the text itself; an end within a gap is the gap's start."""
+        k, n = bisect.bisect_right(self.at, start) - 1, bisect.bisect_left(self.at, end) - 1
+        return self.was[k] + start - self.at[k], self.was[n] + end - self.at[n]
+
+
 def fewest_edits(found: list[tuple[str, int, int, int]]) -> list[tuple[str, int, int, int]]:
     """The matches without those whose span another notice has with fewer edits; equally good ones all stay."""
     beaten, open_ = set(), []
@@ -87,7 +134,8 @@ class Scanner:
 
         A match gives way to another notice's with fewer edits that shares at least half of the shorter of both.
         """
-        low = lower(text)
+        flat = Flat(text)
+        low = flat.text
         windows: dict[int, list[list[int]]] = {}
         for end, (size, places) in self.seeds.iter(low):
             for n, offset in places:
@@ -106,18 +154,19 @@ class Scanner:
             name, _, _, pattern = self.patterns[n]
             for a, b in merged:
                 out += [(name, m.start(), m.end(), sum(m.fuzzy_counts)) for m in pattern.finditer(low, a, b)]
-        return fewest_edits(out)
+        return [(name, *flat.span(a, b), edits) for name, a, b, edits in fewest_edits(out)]
 
     def scan_all(self, text: str) -> list[tuple[str, int, int, int]]:
         """The same without seeds: every pattern over the whole text (slow; what ``scan`` has to find)."""
-        low = lower(text)
-        return fewest_edits([(name, m.start(), m.end(), sum(m.fuzzy_counts)) for name, _, _, pattern in self.patterns for m in pattern.finditer(low)])
+        flat = Flat(text)
+        found = [(name, m.start(), m.end(), sum(m.fuzzy_counts)) for name, _, _, pattern in self.patterns for m in pattern.finditer(flat.text)]
+        return [(name, *flat.span(a, b), edits) for name, a, b, edits in fewest_edits(found)]
 
 
 def scan_licenses(docs: DataFrame, notices: dict[str, str] = NOTICES, chars_an_edit: int = CHARS_AN_EDIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(<id>, notice, start, end, edits, span)``: one row per match in a text; ``span`` is the text matched.
 
-    Letter case is ignored. Null and empty texts have no match. Repeated rows are scanned each; null ids stay; other
+    Letter case, line ends with comment marks, and the number of blanks don't count. Null and empty texts have no match. Repeated rows are scanned each; null ids stay; other
     columns aren't read.
     """
     data = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))

@@ -34,6 +34,20 @@ def test_spans_and_edits():
     assert text[b[1] : b[2]] == "Released under the MIT License" and b[3] == 0
 
 
+def test_wrapped_and_commented_notices():
+    scanner = licenses.Scanner()
+    for text in (
+        "/*\n * Licensed under the Apache\n *     License, Version 2.0\n */", "# Licensed under the\r\n# Apache License, Version 2.0 (the", "// Licensed   under\tthe Apache License,\n//\n// Version 2.0.",
+        "a\n\n\n;; Licensed under the Apache License, \n;; Version 2.0", "x \n> Licensed under\n> the Apache\n> License, Version 2.0",
+    ):
+        (found,) = scanner.scan(text)
+        assert found == scanner.scan_all(text)[0] and found[0] == "apache-2.0" and found[3] == 0
+        assert text[found[1] : found[2]].startswith("Licensed") and text[found[1] : found[2]].endswith("Version 2.0")
+    flat = licenses.Flat("  A\t\tb  \n# c d\n")
+    assert flat.text == " a b c d "
+    assert [flat.span(i, i + 1) for i in (1, 3, 5, 7)] == [(2, 3), (5, 6), (11, 12), (13, 14)]
+
+
 def test_whole_table_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     scanner = licenses.Scanner()
