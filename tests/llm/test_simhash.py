@@ -2,10 +2,12 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from common import odd_docs, rows
+from pyspark.sql import functions as F
 
 from ripplemark.llm import components, simhash
-from ripplemark.llm.shared import read
+from ripplemark.llm.shared import materialize, read
 
 
 def slow_distance(a, b):
@@ -60,12 +62,67 @@ def test_near_copies_go_and_clean_documents_stay(spark):
     assert {k for k, (_, keep) in found.items() if keep} == set(kept)
 
 
-def test_oversized_buckets_are_split_and_equal_prints_stay_together():
-    rng = np.random.default_rng(1)
-    raw = np.concatenate((rng.integers(-(2**62), 2**62, (100, 4)), np.repeat(rng.integers(0, 9, (1, 4)), 50, axis=0)))
-    parts = simhash.split(raw, np.arange(256), 20)
-    assert sorted(np.concatenate(parts).tolist()) == list(range(150))
-    assert sorted(map(len, parts))[-1] == 50 and all(len(p) <= 20 for p in parts if len(p) != 50)
+def hot(n, seed=3):
+    """``n`` distinct fingerprints that differ from one in three bits at most, and as many others."""
+    rng = np.random.default_rng(seed)
+    bits = np.repeat(rng.integers(0, 2, (1, 256), np.uint8), n, axis=0)
+    flip = rng.integers(0, 256, (n, 3))
+    np.put_along_axis(bits, flip, 1 - np.take_along_axis(bits, flip, axis=1), axis=1)
+    near = np.unique(np.packbits(bits, axis=1).view(np.int64), axis=0)
+    return near, rng.integers(-(2**63), 2**63, (n, 4), dtype=np.int64)
+
+
+def test_oversized_buckets_are_split_before_they_are_gathered(spark):
+    near, far = hot(8_000)
+    data = pa.table({"id": np.arange(len(near) + len(far)), "fp": pa.array(np.concatenate((near, far)).tolist(), pa.list_(pa.int64()))})
+    df = spark.createDataFrame(data)
+    for cap in (200, 5000):
+        out = materialize(simhash._buckets(df, 4, 3, cap, 7)[0], "b")
+        sizes = [r["count"] for r in out.groupBy("tab", "bucket").count().collect()]
+        assert max(sizes) <= cap and sum(sizes) == 3 * len(data)
+        assert out.groupBy("id").agg(F.countDistinct("tab").alias("t")).where("t = 3").count() == len(data)
+    roots = simhash.components(df, 0.9, 2000, 200, 7, 46)
+    assert roots.where(f"node < {len(near)} and root = 0").count() == len(near)  # split, and still one group
+    assert roots.where(f"node >= {len(near)}").count() == 0
+
+
+def test_votes_are_kept_between_texts(monkeypatch):
+    monkeypatch.setattr(simhash, "KNOWN", 50)
+    rng = random.Random(2)
+    words = simhash.Words()
+    for _ in range(60):
+        text = " ".join("".join(rng.choice("abcdé") for _ in range(rng.randint(1, 14))) for _ in range(rng.randint(1, 80)))
+        assert words.fingerprint(text) == simhash.fingerprint(text) == slow_fingerprint(text)
+
+
+def slow_fingerprint(text):
+    import re
+
+    import xxhash
+
+    votes = [0] * 256
+    for w in set(re.findall(r"\w+", text.lower())):
+        h, bits = xxhash.xxh3_64_intdigest(w), []
+        for k in range(4):
+            z = (h + 0x9E3779B97F4A7C15 * (k + 1)) % 2**64
+            z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+            z = (z ^ z >> 27) * 0x94D049BB133111EB % 2**64
+            z ^= z >> 31
+            for byte in z.to_bytes(8, "little"):
+                bits += [byte >> 7 - i & 1 for i in range(8)]
+        for i, b in enumerate(bits):
+            votes[i] += (2 * b - 1) * (min(max(len(w), 2), 10) - 1)
+    raw = bytes(sum((votes[s + i] >= 0) << 7 - i for i in range(8)) for s in range(0, 256, 8))
+    return [int.from_bytes(raw[s : s + 8], "little", signed=True) for s in range(0, 32, 8)]
+
+
+def test_ids_of_any_type(spark):
+    data = [("b", "one two three four five"), ("a", "one two three four five"), ("c", "something else in other words here"), (None, "one two three four five")]
+    df = spark.createDataFrame(data, "doc_id string, text string")
+    assert rows(simhash.near_pairs(df)) == [("a", "b", 0)]
+    assert rows(simhash.near_groups(df)) == sorted([("a", "a", True), ("b", "a", False), ("c", "c", True), (None, None, True)], key=repr)
+    assert rows(simhash.drop_near_duplicates(df).select("doc_id")) == sorted([("a",), ("c",), (None,)], key=repr)
+    assert rows(simhash.near_pairs(df.selectExpr("cast(ascii(doc_id) as decimal(5, 1)) as doc_id", "text"))) == [("97.0", "98.0", 0)]
 
 
 def test_tables_follow_the_bits():
