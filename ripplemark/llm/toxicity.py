@@ -23,16 +23,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import fresh, uniform
+
 BUCKETS = 1 << 18
 DIM = 8
 NGRAMS = (3, 6)
 WINDOW = 8
 #: Labelled documents of each class that the classifier is fitted on, at most.
 SAMPLE_PER_CLASS = 3000
+#: Characters of the sampled texts of each class, in all, and of a text that is sampled; they bound the driver's memory.
+SAMPLE_CHARS, TEXT_CHARS = 32_000_000, 1_000_000
+#: Windows of toxic texts that training starts from, at random places (4 a text at least); from the next pass on it looks at all.
+START_WINDOWS = 40_000
+#: From the third pass on, a toxic text whose likeliest window has a lower log-odds teaches nothing in that pass: it is taken for mislabelled.
+NOISE = -1.0
 SEED = "toxicity-v1"
 _WORD = re.compile(r"\w+")
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -101,7 +109,7 @@ class Scorer:
 
     def _chunk(self, docs: list[list[str]]) -> np.ndarray:
         words = [w for d in docs for w in d]
-        new = list(set(words) - self.known.keys())
+        new = [w for w in set(words) if w not in self.known]
         if new:
             if len(self.known) + len(new) > _CACHE_WORDS:
                 self.known.clear()
@@ -187,14 +195,15 @@ def fit(texts: Iterable[str | None], labels: list[int], seed: int = 7, rounds: i
             rows = order[s : s + 512]
             start, stop = windows[rows, 0], windows[rows, 1]
             n = stop - start
-            row_w = np.repeat(np.arange(len(rows)), n)
-            words = flat[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            ahead = np.cumsum(n) - n
+            # Words that several windows of a batch share are looked up once.
+            words, slot = np.unique(flat[np.repeat(start - ahead, n) + np.arange(int(n.sum()))], return_inverse=True)
             c = counts[words]
-            refs = feats[np.repeat(begins[words] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))]
-            row_f = np.repeat(row_w, c)
-            share = np.repeat(1.0 / (c * n[row_w]), c).astype(np.float32)
-            first = np.concatenate(([0], np.cumsum(np.bincount(row_f, minlength=len(rows)))[:-1]))
-            hidden = np.add.reduceat(emb[refs] * share[:, None], first, axis=0)
+            before = np.cumsum(c) - c
+            refs = feats[np.repeat(begins[words] - before, c) + np.arange(int(c.sum()))]
+            per_word, per_window = (1 / c).astype(np.float32)[:, None], (1 / n).astype(np.float32)[:, None]
+            vectors = np.add.reduceat(emb[refs], before, axis=0) * per_word
+            hidden = np.add.reduceat(vectors[slot], ahead, axis=0) * per_window
             logits = hidden @ head + bias
             logits -= logits.max(axis=1, keepdims=True)
             p = np.exp(logits)
@@ -203,10 +212,13 @@ def fit(texts: Iterable[str | None], labels: list[int], seed: int = 7, rounds: i
             grad = p / len(rows) * 64
             g_hid = grad @ head.T
             d_head, d_bias = hidden.T @ grad, grad.sum(axis=0)
+            spread = np.repeat(g_hid * per_window, n, axis=0)
+            by = np.argsort(slot, kind="stable")
+            g_word = np.add.reduceat(spread[by], np.searchsorted(slot[by], np.arange(len(words))), axis=0) * per_word
             by = np.argsort(refs, kind="stable")
             sorted_refs = refs[by]
             cut = np.flatnonzero(np.concatenate(([True], sorted_refs[1:] != sorted_refs[:-1])))
-            d_emb = np.add.reduceat((g_hid[row_f] * share[:, None])[by], cut, axis=0)
+            d_emb = np.add.reduceat(np.repeat(g_word, c, axis=0)[by], cut, axis=0)
             hit = sorted_refs[cut]
             g_emb[hit] += (d_emb**2).mean(axis=1)
             emb[hit] -= rate * d_emb / np.sqrt(g_emb[hit])[:, None]
@@ -232,7 +244,7 @@ def fit(texts: Iterable[str | None], labels: list[int], seed: int = 7, rounds: i
 
     pos, neg = np.flatnonzero((y == 1) & ~held), np.flatnonzero((y == 0) & ~held)
     spans, target = [], []
-    room = max(4, 40_000 // len(pos))
+    room = max(4, START_WINDOWS // len(pos))
     for d in pos:
         places = np.arange(0, lens[d], WINDOW // 2)
         for a in places if len(places) <= room else rng.choice(places, room, replace=False):
@@ -256,7 +268,7 @@ def fit(texts: Iterable[str | None], labels: list[int], seed: int = 7, rounds: i
             logit = (total[stops] - total[starts]) / (stops - starts) + model.bias
             if y[d]:
                 best = int(logit.argmax())
-                if turn < 2 or logit[best] > -1:  # a toxic label with nothing toxic in the text teaches only noise
+                if turn < 2 or logit[best] > NOISE:  # a toxic label with nothing toxic in the text teaches only noise
                     spans.append((starts[best], stops[best]))
                     target.append(1)
                     if turn >= 2:
@@ -292,8 +304,6 @@ def sample_labels(labels: DataFrame, id_col: str = "doc_id", label_col: str = "t
 
     Rows with a null id or label are left out; an id with different labels counts as toxic; repeated rows count once.
     """
-    from .shared import uniform
-
     clean = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     clean = clean.groupBy("id").agg(F.max("y").alias("y")).withColumn("u", uniform(SEED, F.col("id")))
     parts = [clean.where(F.col("y") == c).orderBy("u", "id").limit(per_class) for c in (0, 1)]
@@ -301,13 +311,17 @@ def sample_labels(labels: DataFrame, id_col: str = "doc_id", label_col: str = "t
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> Model:
-    """Fit on a bounded labelled sample of ``docs``: at most ``2 * per_class`` texts come to the driver.
+    """Fit on a bounded labelled sample of ``docs``: at most ``per_class`` texts of each class come to the driver, of ``TEXT_CHARS``
+    characters at most each, and in hash order no more than have ``SAMPLE_CHARS`` characters together. Scoring has no such bounds.
 
     Repeated ids in ``docs`` give one text (the least). No labelled document at all gives a model that rejects nothing.
     """
     sample = sample_labels(labels, id_col, label_col, per_class)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    rows = texts.join(F.broadcast(sample), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y")).toArrow().sort_by("id")
+    texts = texts.where(F.length("text") <= TEXT_CHARS).join(F.broadcast(sample), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    # At most ``2 * per_class`` rows.
+    total = F.sum(F.length("text")).over(Window.partitionBy("y").orderBy(uniform(SEED, F.col("id")), "id"))
+    rows = texts.withColumn("total", total).where(F.col("total") <= SAMPLE_CHARS).select("id", "text", "y").toArrow().sort_by("id")
     y = rows["y"].to_pylist()
     classes = labels.agg(*[F.count(F.when(F.col(label_col) == c, 1)).alias(f"n{c}") for c in (0, 1)]).first()
     weight = classes["n0"] / max(1, y.count(0)) * y.count(1) / max(1, classes["n1"])
@@ -340,8 +354,6 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` without those whose score reaches the threshold, with all their columns and no other."""
-    from .shared import fresh
-
     (name,) = fresh(docs, "toxicity")
     scored = docs.withColumn(name, score_column(docs.sparkSession, docs[text_col], model))
     return scored.where(F.col(name) < F.lit(model.threshold)).drop(name)

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from common import LONG, odd_docs, rows
 
-from ripplemark.llm import toxicity
+from ripplemark.llm import queries, toxicity
 from ripplemark.llm.shared import read
 
 
@@ -55,6 +55,30 @@ def test_scores_against_brute_force(model):
     assert np.allclose(got, [brute(model, t or "") for t in texts])
 
 
+def test_the_query_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
+    model = toxicity.train(docs, labels)
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = queries.QUERIES["op8_toxicity"](spark, sf).collect()
+    assert len(got) == len(text)
+    for r in got:
+        assert r["toxic"] == (r["score"] >= model.threshold)
+        if len(text[r["doc_id"]]) < 4000:
+            assert abs(r["score"] - brute(model, text[r["doc_id"]])) < 1e-9
+
+
+def test_long_texts_are_not_sampled_but_scored(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TEXT_CHARS", 1000)
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 2000)
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y, **_: seen.append(list(texts)) or toxicity.Model(np.zeros(toxicity.BUCKETS, np.float32), 0.0, 0.5))
+    df = spark.createDataFrame([(i, "word " * (120 if i else 5000)) for i in range(9)], "doc_id bigint, text string")
+    model = toxicity.train(df, spark.createDataFrame([(i, i % 2) for i in range(9)], "doc_id bigint, toxic int"))
+    assert len(seen[0]) == 6 and max(map(len, seen[0])) == 600
+    assert toxicity.classify(df, model).count() == 9
+
+
 def test_one_class_only():
     assert toxicity.fit(["a b"], [0]).threshold > 1
     assert toxicity.fit([], []).threshold > 1
