@@ -27,6 +27,11 @@ def script_kind(flags: Column) -> Column:
     return F.when(bit(8), 2).when(bit(4), 1).when(bit(2), 3).otherwise(0)
 
 
+def progress_bucket(percent: Column) -> Column:
+    """A share of a hundred, rounded down to tens."""
+    return (F.floor(percent / 10) * 10).cast("int")
+
+
 def varint(data: Column) -> Column:
     """A number from big-endian groups of seven bits, wrapped to 32 bits as a signed one; reads to the first byte under 128."""
     codes = F.transform(F.filter(F.split(F.hex(data), "(?<=\\G..)"), lambda h: h != ""), lambda h: F.conv(h, 16, 10).cast("bigint"))

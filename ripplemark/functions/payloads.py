@@ -104,10 +104,12 @@ def _mac() -> np.ndarray:
 
 
 MAC = _mac()
+#: The 216 colours that browsers share, the last channel fastest, then black.
+WEB = np.concatenate((51 * np.stack(np.unravel_index(np.arange(216), (6, 6, 6)), axis=1), np.zeros((40, 3), int))).astype(np.uint8)
 GRAY = np.repeat((255 - np.arange(256, dtype=np.uint8))[:, None], 3, axis=1)
 INDEX_GRAY = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
 #: Built-in palettes by id; the others are drawn with the classic one.
-BUILT_IN = {-1: MAC, 1: MAC, -3: GRAY, 3: GRAY}
+BUILT_IN = {-1: MAC, 1: MAC, -3: GRAY, 3: GRAY, -8: WEB, 9: WEB}
 
 
 def jasc(colors: np.ndarray) -> bytes:
@@ -229,6 +231,26 @@ def render(data: bytes, w: int, h: int, depth: int, row: int, colors: np.ndarray
     return out
 
 
+class _Readings:
+    """The bytes as they are, unpacked, inflated, and inflated and unpacked, each made when it is first asked for."""
+
+    def __init__(self, data: bytes):
+        self.made: list[bytes | None] = [data]
+
+    def __iter__(self) -> Iterator[bytes]:
+        for i in range(4):
+            if i == len(self.made):
+                before = self.made[i - 1]
+                self.made.append(lenient_inflate(self.made[0]) if i == 2 else None if before is None else unpack_bits(before))
+            if self.made[i] is not None:
+                yield self.made[i]
+
+    def plain(self) -> list[bytes]:
+        """The readings that aren't unpacked."""
+        list(self)
+        return [d for d in self.made[::2] if d is not None]
+
+
 def bitmap(data: bytes | None, width: int, height: int, depth: int, pitch: int = 0, colors: np.ndarray | None = None, alpha: bytes | None = None, flags: int = 0) -> tuple[str, bytes | None, int, int]:
     """``(format or reason, artifact, width, height)``: depths, encodings and row sizes are tried in order until a length fits.
 
@@ -237,9 +259,7 @@ def bitmap(data: bytes | None, width: int, height: int, depth: int, pitch: int =
     """
     if not data:
         return "empty_asset", None, 0, 0
-    sources = [data, unpack_bits(data)]
-    if (flat := lenient_inflate(data)) is not None:
-        sources += [flat, unpack_bits(flat)]
+    sources = _Readings(data)
     depth = depth or 8
     own_alpha = bool(flags & 0x4000)
 
@@ -250,7 +270,7 @@ def bitmap(data: bytes | None, width: int, height: int, depth: int, pitch: int =
         return "png", png_of(w, h, parts), w, h
 
     if width <= 0 or height <= 0:
-        guess = inferred(sources, depth) if depth in (1, 2, 4, 8) else None
+        guess = inferred(list(sources), depth) if depth in (1, 2, 4, 8) else None
         return done(guess[1], guess[2], guess[3], depth, guess[4]) if guess else ("dat", data, 0, 0)
     depths = [depth, *(d for d in (32, 16, 8, 4, 1, 2) if d != depth)]
     for bits in depths:
@@ -260,11 +280,12 @@ def bitmap(data: bytes | None, width: int, height: int, depth: int, pitch: int =
                     return done(d, width, height, bits, row)
     for bits in depths:
         for row in row_sizes(width, bits, pitch):
-            for d in sources[::2]:
+            for d in sources.plain():
                 if (rows := unpack_rows(d, row, height)) is not None:
                     return done(rows, width, height, bits, row)
     if depth in (1, 2, 4, 8):
         told = []
+        sources = list(sources)
         for i, d in enumerate(sources):
             if len(d) >= 32:
                 for row in row_sizes(width, depth, pitch):
@@ -376,9 +397,9 @@ def xtra(data: bytes) -> tuple[str, bytes]:
     return ("bundle" if data[:4] in (b"\xfe\xed\xfa\xce", b"\xce\xfa\xed\xfe") else "dat"), data
 
 
-def film_deltas(data: bytes) -> tuple[int, list[tuple[int, int, dict]]]:
-    """Frame count and ``(frame, channel, what changes)`` of a film loop; ``forward_fill_state`` makes the frames' states of it."""
-    out = []
+def _film(data: bytes) -> tuple[int, int, list[tuple[int, int, dict]]]:
+    """The told frame count, the frames that are there, and ``(frame, channel, what changes)``."""
+    out, count, read = [], 0, 0
     at = Cursor(data)
     try:
         at.take(12)
@@ -387,6 +408,7 @@ def film_deltas(data: bytes) -> tuple[int, list[tuple[int, int, dict]]]:
         for frame in range(count):
             size = at.u16()
             end = at.at + size
+            read = frame + 1
             while at.at < end:
                 channel = at.u8()
                 if channel == 0xFF:
@@ -395,15 +417,21 @@ def film_deltas(data: bytes) -> tuple[int, list[tuple[int, int, dict]]]:
             at.at = end
     except EOFError:
         pass
-    return (count if len(data) >= 22 else 0), out
+    return (count if len(data) >= 22 else 0), read, out
+
+
+def film_deltas(data: bytes) -> tuple[int, list[tuple[int, int, dict]]]:
+    """Frame count and ``(frame, channel, what changes)`` of a film loop; ``forward_fill_state`` makes the frames' states of it."""
+    count, _, out = _film(data)
+    return count, out
 
 
 def film_loop(data: bytes) -> bytes:
-    """All frames as JSON, each with the state that the frames up to it leave."""
-    count, deltas = film_deltas(data)
+    """All frames that are there as JSON, each with the state that the frames up to it leave; a frame without a change repeats it."""
+    count, read, deltas = _film(data)
     state: dict[str, dict] = {}
     frames, k = [], 0
-    for frame in range(min(count, 1 + max((d[0] for d in deltas), default=-1))):
+    for frame in range(read):
         while k < len(deltas) and deltas[k][0] == frame:
             state[str(deltas[k][1])] = deltas[k][2]
             k += 1

@@ -29,22 +29,24 @@ def bounded_chain(items: DataFrame, key: str, parent: str, accepted: str, limit:
     """``(key, found, depth, outcome)``: follow ``parent`` from each item to the first accepted one.
 
     The outcome is ``found``, ``cycle`` (the chain came back to its start or to itself), ``broken`` (a null or unknown
-    parent) or ``too deep`` (over ``limit`` steps). ``limit`` self-joins on the unique key, no driver loop over data.
+    parent) or ``too deep`` (over ``limit`` steps). Only chains that go on are joined with the next items; settled ones are set aside, each round
+    is written to the shared folder, and the rounds end with the last open chain.
     """
     table = items.select(F.col(key).alias("k"), F.col(parent).alias("p"), F.col(accepted).alias("ok"))
+    settled = F.when(F.col("ok"), "found").when(F.col("p").isNull(), "broken").when(F.array_contains("path", F.col("p")), "cycle")
+    nxt = table.select(F.col("k").alias("nk"), F.col("p").alias("np"), F.col("ok").alias("nok"))
     state = table.select(F.col("k").alias("start"), F.col("k").alias("at"), "p", "ok", F.array("k").alias("path"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("outcome"))
-    for _ in range(limit):
-        state = state.withColumn("outcome", F.when(F.col("outcome").isNotNull(), F.col("outcome")).when(F.col("ok"), F.lit("found")).when(F.col("p").isNull(), F.lit("broken")).when(F.array_contains("path", F.col("p")), F.lit("cycle")))
-        nxt = table.select(F.col("k").alias("nk"), F.col("p").alias("np"), F.col("ok").alias("nok"))
-        go = F.col("outcome").isNull()
-        state = state.join(nxt, go & (F.col("p") == F.col("nk")), "left").select(
-            "start",
-            F.when(go & F.col("nk").isNotNull(), F.col("nk")).otherwise(F.col("at")).alias("at"),
-            F.when(go, F.col("np")).otherwise(F.col("p")).alias("p"),
-            F.when(go, F.coalesce("nok", F.lit(False))).otherwise(F.col("ok")).alias("ok"),
-            F.when(go & F.col("nk").isNotNull(), F.concat("path", F.array("nk"))).otherwise(F.col("path")).alias("path"),
-            (F.col("depth") + F.when(go & F.col("nk").isNotNull(), 1).otherwise(0)).alias("depth"),
-            F.when(go & F.col("nk").isNull(), F.lit("broken")).otherwise(F.col("outcome")).alias("outcome"),
-        )
-    outcome = F.coalesce("outcome", F.when(F.col("ok"), "found").when(F.col("p").isNull(), "broken").when(F.array_contains("path", F.col("p")), "cycle").otherwise("too deep"))
-    return state.select(F.col("start").alias(key), "at", "depth", outcome.alias("outcome")).select(key, F.when(F.col("outcome") == "found", F.col("at")).alias("found"), "depth", "outcome")
+    done = None
+    for depth in range(limit + 1):
+        state = materialize(state.withColumn("outcome", F.coalesce("outcome", settled)), "chains")
+        here = state.where("outcome is not null" if depth < limit else "true").select("start", "at", "depth", F.coalesce("outcome", F.lit("too deep")).alias("outcome"))
+        done = here if done is None else done.unionByName(here)
+        if depth == limit or (state := state.where("outcome is null")).isEmpty():
+            break
+        step = state.join(nxt, F.col("p") == F.col("nk"), "left")
+        there = F.col("nk").isNotNull()
+        state = step.select(
+            "start", F.coalesce("nk", "at").alias("at"), F.col("np").alias("p"), F.coalesce("nok", F.lit(False)).alias("ok"), F.when(there, F.concat("path", F.array("nk"))).otherwise(F.col("path")).alias("path"),
+            F.when(there, depth + 1).otherwise(F.col("depth")).alias("depth"), F.when(~there, "broken").alias("outcome"),
+        )
+    return done.select(F.col("start").alias(key), F.when(F.col("outcome") == "found", F.col("at")).alias("found"), "depth", "outcome")

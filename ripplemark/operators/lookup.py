@@ -92,6 +92,6 @@ def orphans(rows: DataFrame, owners: DataFrame, key: str) -> DataFrame:
 def enumerate_candidates(rows: DataFrame, key: list[str], candidates: DataFrame, order: list[str], accept: Column) -> DataFrame:
     """Each row with the first candidate, by ``order``, that ``accept`` holds for; rows without one are left out.
 
-    ``candidates`` is a fixed small table (formats, alignments) and is broadcast.
+    ``candidates`` is a fixed small table (formats, alignments); the optimizer broadcasts it if its size allows.
     """
-    return first_wins(rows.crossJoin(F.broadcast(candidates)).where(accept), key, [F.col(c) for c in order])
+    return first_wins(rows.crossJoin(candidates).where(accept), key, [F.col(c) for c in order])

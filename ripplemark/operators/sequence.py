@@ -8,31 +8,37 @@ from pyspark.sql import functions as F
 from ..storage import fresh
 
 SPLITS = 64
+#: Rows whose keys tell where the parts of a table end; they only balance the parts.
+SAMPLE = 10_000
 
 
 def positions(df: DataFrame, order: list[str], alias: str, splits: int = SPLITS) -> DataFrame:
-    """``df`` with each row's place from 1 in the total order of the columns ``order`` (the first one numeric).
+    """``df`` with each row's place from 1 in the total order of the columns ``order``.
 
-    Rows are parted by quantiles of the first column, fixed once on the driver (``splits`` numbers), ranked within
-    their part and shifted by the sizes of the parts before: no single task sorts the table. Nulls come first.
+    Rows are parted by whole keys, at ``splits`` places of a bounded sample, so a frequent value of the first column is parted by the next
+    ones; they are ranked within their part and shifted by the sizes of the parts before: no single task sorts the table. Nulls come first.
     """
-    lead = F.col(order[0]).cast("double")
-    cuts = df.agg(F.percentile_approx(lead, [i / splits for i in range(1, splits)], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
+    kinds = [df.schema[c].dataType for c in order]
+    keys = df.select(*order).orderBy(F.xxhash64(*order)).limit(SAMPLE).collect()
+    one = lambda v: F.struct(*[F.lit(x).cast(k).alias(f"k{i}") for i, (x, k) in enumerate(zip(v, kinds))])
+    least = lambda r: tuple((x is not None, x) for x in r)
+    keys = sorted({tuple(r) for r in keys}, key=least)
+    cuts = [keys[len(keys) * i // splits] for i in range(1, splits)] if len(keys) > splits else keys[1:]
     part, n, before = fresh(df, "part", "n", "before")
-    place = F.coalesce(F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>"), lambda c: c <= lead)), F.lit(0))
-    parted = df.withColumn(part, F.when(lead.isNull(), F.lit(-1)).otherwise(place))
-    # At most ``splits`` + 1 rows: a global window over them is one small task.
+    own = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
+    place = F.size(F.filter(F.array(*[one(c) for c in cuts]), lambda c: c <= own)) if cuts else F.lit(0)
+    parted = df.withColumn(part, place)
+    # At most ``splits`` rows: a global window over them is one small task.
     sizes = parted.groupBy(part).agg(F.count("*").alias(n))
     sizes = sizes.select(part, (F.sum(n).over(Window.orderBy(part)) - F.col(n)).alias(before))
-    own = F.row_number().over(Window.partitionBy(part).orderBy(*[F.col(c).asc_nulls_first() for c in order]))
-    ranked = parted.withColumn(n, own).join(F.broadcast(sizes), part)
+    rank = F.row_number().over(Window.partitionBy(part).orderBy(*[F.col(c).asc_nulls_first() for c in order]))
+    ranked = parted.withColumn(n, rank).join(F.broadcast(sizes), part)
     return ranked.select(*[F.col(f"`{c}`") for c in df.columns], (F.col(n) + F.col(before)).cast("bigint").alias(alias))
 
 
 def positional_zip(left: DataFrame, left_order: list[str], right: DataFrame, right_order: list[str]) -> DataFrame:
     """The first left row with the first right row, the second with the second ...; left rows without a partner have nulls."""
-    (pos,) = fresh(left.crossJoin(right), "pos")
+    (pos,) = fresh(left.limit(0).crossJoin(right.limit(0)), "pos")
     return positions(left, left_order, pos).join(positions(right, right_order, pos), pos, "left").withColumnRenamed(pos, "position")
 
 

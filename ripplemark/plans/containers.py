@@ -97,9 +97,21 @@ def global_palettes(found_palettes: DataFrame) -> DataFrame:
     return named.select("name", F.col("all")[0]["colors"].alias("colors"), F.array_distinct(F.transform("all", lambda x: x["path"])).alias("sources"))
 
 
+def artifact_folders(paths: DataFrame) -> DataFrame:
+    """``(path, folder)``: a file's stem, and where several files share it (letter case ignored), with the beginning of its path's hash."""
+    from pyspark.sql import Window
+
+    name = F.element_at(F.split(F.rtrim(F.translate("path", "\\", "/"), F.lit("/")), "/"), -1)
+    stem = F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
+    each = paths.select("path").where("path is not null").distinct().withColumn("stem", stem)
+    # A window, not a join: the files of one stem are counted where they meet.
+    many = F.count("*").over(Window.partitionBy(F.lower("stem"))) > 1
+    return each.select("path", F.when(many, F.concat("stem", F.lit("__"), F.substring(F.sha2("path", 256), 1, 12))).otherwise(F.col("stem")).alias("folder"))
+
+
 def write_artifacts(made: DataFrame, folder: str) -> int:
-    """Write each artifact's bytes to ``folder/<file's stem>/<artifact>`` from the tasks; returns how many. A repeated task writes the same again."""
-    data = made.where("data is not null").select("path", "file", "data")
+    """Write each artifact's bytes to ``folder/<the file's folder>/<artifact>`` from the tasks (see ``artifact_folders``); returns how many. A repeated task writes the same again."""
+    data = made.where("data is not null").join(artifact_folders(made), "path").select("folder", "file", "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.fs
@@ -107,13 +119,11 @@ def write_artifacts(made: DataFrame, folder: str) -> int:
         fs, base = (pyarrow.fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")) if "://" not in folder or folder.startswith("file:") else pyarrow.fs.FileSystem.from_uri(folder)
         n = 0
         for batch in batches:
-            for path, file, blob in zip(*(batch[c].to_pylist() for c in ("path", "file", "data"))):
-                stem = path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
-                fs.create_dir(f"{base}/{stem}", recursive=True)
-                with fs.open_output_stream(f"{base}/{stem}/{file}") as out:
+            for own, file, blob in zip(*(batch[c].to_pylist() for c in ("folder", "file", "data"))):
+                fs.create_dir(f"{base}/{own}", recursive=True)
+                with fs.open_output_stream(f"{base}/{own}/{file}") as out:
                     out.write(blob)
                 n += 1
         yield pa.record_batch([pa.array([n], pa.int64())], names=["n"])
 
     return data.mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0] or 0
-

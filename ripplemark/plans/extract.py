@@ -7,6 +7,7 @@ building on it, so files are walked once and the metadata plans read no payload
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -17,8 +18,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import payloads, text
+from ..functions import payloads, scripts as code, text
 from ..operators.asof import asof_preceding
+from ..operators.closure import bounded_chain
 from ..operators.dedup import first_wins, last_wins
 from ..operators.lookup import Step, fallback_chain, scored_match
 from ..operators.stats import first_reason, outcome_buckets
@@ -90,6 +92,10 @@ def _of(chunks: DataFrame, *wanted: str) -> DataFrame:
     return chunks.where(F.col("tag").isin(*wanted) & F.col("payload").isNotNull())
 
 
+def _bytes(chunks: DataFrame) -> DataFrame:
+    return chunks.where("payload is not null and ord is not null")
+
+
 def _first(chunks: DataFrame, *wanted: str) -> DataFrame:
     return first_wins(_of(chunks, *wanted), ["path"], ["ord"])
 
@@ -272,6 +278,28 @@ def scripts(chunks: DataFrame, found: DataFrame, known: Structure | None = None)
     return materialize(out.where("section is not null"), "scripts")
 
 
+def latest_names(chunks: DataFrame) -> DataFrame:
+    """``(path, names_id, names)`` of each name table."""
+    return latest(_of(chunks, "Lnam")).select("path", F.col("id").alias("names_id"), _names("payload", "big").alias("names"))
+
+
+def listings(chunks: DataFrame, found: DataFrame, known: Structure | None = None) -> DataFrame:
+    """``(path, id, section, source, listing)`` of each Script member that has a script: its text, and its instructions one a line."""
+    known = known or structure(chunks)
+    chosen = scripts(chunks, found, known).join(found.select("path", "id", "script_type"), ["path", "id"])
+    tables = script_names(chunks, known.refs).select("path", F.col("id").alias("section"), "names_id").join(latest_names(chunks), ["path", "names_id"])
+    data = latest(_of(chunks, "Lscr")).select("path", F.col("id").alias("section"), "payload")
+    rows = chosen.join(tables.select("path", "section", "names"), ["path", "section"], "left").join(data, ["path", "section"])
+
+    @F.arrow_udf(T._parse_datatype_string("struct<source:string,listing:string>"))
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for data, names, kind in batches:
+            rows = [code.decompile(data[i].as_py(), names[i].as_py() or [], kind[i].as_py() or 0) for i in range(len(data))]
+            yield pa.array([{"source": a, "listing": b} for a, b in rows], pa.struct([("source", pa.string()), ("listing", pa.string())]))
+
+    return rows.withColumn("t", run("payload", "names", "script_type")).select("path", "id", "section", "t.source", "t.listing")
+
+
 def script_names(chunks: DataFrame, refs: DataFrame) -> DataFrame:
     """``(path, id, names_id)``: the name table of each script chunk: the one its context tells, else the nearest before it, else the first."""
     tables = _of(chunks, "Lnam").select("path", "ord", F.col("id").alias("table_id"))
@@ -289,8 +317,21 @@ def palettes(chunks: DataFrame, found: DataFrame) -> DataFrame:
     return found.where("type_id = 4").select("path", "id", F.try_element_at("sections", F.lit("CLUT")).alias("section")).join(tables, ["path", "section"]).select("path", "id", "colors")
 
 
+def _borrowed(found: DataFrame) -> DataFrame | None:
+    """``(path, id, lent)`` of bitmaps whose palette is that of another bitmap, through ten of them at most; None where no bitmap borrows."""
+    key = lambda c: F.struct("path", F.col(c).cast("bigint").alias("n"))
+    images = found.where("type_id in (1, 53)").select("path", "id", "palette_id")
+    lenders = images.select("path", F.col("id").cast("bigint").alias("target"))
+    if images.select("path", F.col("palette_id").cast("bigint").alias("target")).join(lenders, ["path", "target"], "left_semi").isEmpty():
+        return None
+    items = images.select(key("id").alias("k"), F.when(F.col("palette_id") > 0, key("palette_id")).alias("p"), F.lit(False).alias("ok"))
+    items = items.unionByName(found.where("type_id = 4").select(key("id").alias("k"), F.lit(None).cast(items.schema["p"].dataType).alias("p"), F.lit(True).alias("ok")))
+    chains = bounded_chain(items, "k", "p", "ok", 10).where("outcome = 'found' and depth > 1")
+    return chains.select(F.col("k.path").alias("path"), F.col("k.n").cast("int").alias("id"), F.col("found.n").cast("int").alias("lent"))
+
+
 def resolved_palettes(chunks: DataFrame, found: DataFrame, structural: Structure | None = None) -> DataFrame:
-    """``(path, id, palette_ref, resolution)`` of each bitmap: the slot's member, the member of that id, the nearest palette before, the first, or a built-in one (negative)."""
+    """``(path, id, palette_ref, resolution)`` of each bitmap: the slot's member, the member of that id, that of a bitmap of that id (and so on), the nearest palette before, the first, or a built-in one (negative)."""
     known = palettes(chunks, found).select("path", F.col("id").alias("pal"))
     structural = structural or structure(chunks)
     order = structural.order.join(known.withColumnRenamed("pal", "id"), ["path", "id"]).select("path", "slot", F.col("id").alias("pal"))
@@ -301,6 +342,9 @@ def resolved_palettes(chunks: DataFrame, found: DataFrame, structural: Structure
     key = lambda c: F.struct("path", F.col(c).cast("int").alias("n"))
     slots, direct = order.select(key("slot").alias("k"), "pal"), known.select(key("pal").alias("k"), "pal")
     out = fallback_chain(maps, [Step("slot", slots, "k", "pal", at("slot_no")), Step("direct", direct, "k", "pal", at("palette_id")), Step("order", slots, "k", "pal", at("palette_id"))], "custom", "by")
+    chained = _borrowed(found)
+    if chained is not None:
+        out = out.join(chained, ["path", "id"], "left").withColumn("by", F.when(F.col("custom").isNull() & F.col("lent").isNotNull(), "borrowed").otherwise(F.col("by"))).withColumn("custom", F.coalesce("custom", "lent"))
     built_in = F.col("palette_id").between(-102, -1)
     ref = F.when(F.col("custom").isNotNull(), F.col("custom")).when(built_in, F.col("palette_id")).otherwise(F.coalesce("near", F.lit(-1)))
     how = F.when(F.col("custom").isNotNull(), F.col("by")).when(built_in, F.lit("system")).when(F.col("near").isNotNull(), F.lit("nearest")).otherwise("default")
@@ -311,7 +355,21 @@ _ARTIFACT = "struct<reason:string,format:string,data:binary,width:int,height:int
 RAW_NAME = r"(?i)\.(props|txt|json|xml|html|css|js|ls|lsc)$"
 
 
-def decoded(kind: int, data: bytes | None, m: dict, colors: bytes | None, alpha: bytes | None, gray: bool) -> dict:
+SCRIPT_LABELS = {0: "MovieScript", 1: "BehaviorScript", 2: "ParentScript", 3: "MovieScript", 7: "CastScript"}
+
+
+def script_name(data: bytes, names: list[str], source: str) -> str | None:
+    """A name for a script without one: the class that its source mentions, else the factory that its header tells."""
+    if found := re.search(r"""["']([a-zA-Z0-9_.-]+\.class)["']""", source, re.I):
+        return found[1]
+    if len(data) >= 50 and struct.unpack_from(">H", data, 16)[0] >= 92:
+        ident = struct.unpack_from(">h", data, 48)[0]
+        if 0 <= ident < len(names) and names[ident]:
+            return names[ident]
+    return None
+
+
+def decoded(kind: int, data: bytes | None, m: dict, colors: bytes | None, alpha: bytes | None, gray: bool, names: list[str] | None = None) -> dict:
     out = {"reason": "extracted", "format": None, "data": None, "width": None, "height": None, "renamed": None}
     if kind == 8:
         box = m["rect"] or dict.fromkeys(("top", "left", "bottom", "right"), 0)
@@ -334,6 +392,9 @@ def decoded(kind: int, data: bytes | None, m: dict, colors: bytes | None, alpha:
     if kind == 2:
         spec = m["spec"] or b""
         return out | {"format": "json", "data": payloads.film_loop(spec)}
+    if kind == 11:
+        source, _ = code.decompile(data, names or [], m["script_type"] or 0)
+        return out | {"format": "ls", "data": source.encode("utf-8", "replace"), "renamed": script_name(data, names or [], source)}
     plain = {6: payloads.sound, 16: payloads.font, 19: payloads.flash, 10: payloads.video, 15: payloads.xtra}.get(kind)
     form, art = plain(data) if plain else ("dat", data)
     return out | {"format": form, "data": art}
@@ -346,11 +407,11 @@ def _decoder(gray: bool):
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        for kind, data, m, colors, alpha in batches:
+        for kind, data, m, colors, alpha, names in batches:
             out = []
-            for k, d, x, c, a in zip(kind.to_pylist(), data.to_pylist(), m.to_pylist(), colors.to_pylist(), alpha.to_pylist()):
+            for i in range(len(kind)):
                 try:
-                    out.append(decoded(k, d, x, c, a, gray))
+                    out.append(decoded(*(column[i].as_py() for column in (kind, data, m, colors, alpha)), gray, names[i].as_py()))
                 except (EOFError, ValueError, IndexError, ArithmeticError, struct.error):
                     out.append({"reason": "failed", "format": None, "data": None, "width": None, "height": None, "renamed": None})
             yield pa.array(out, to_arrow_type(schema))
@@ -358,13 +419,13 @@ def _decoder(gray: bool):
     return run
 
 
-FIELDS = {"png": "image", "dat": "dataFile", "svg": "image", "pal": "paletteFile", "txt": "textFile", "rtf": "textFile", "json": "dataFile", "mp3": "soundFile", "wav": "soundFile", "snd": "soundFile"}
+FIELDS = {"ls": "scriptFile", "png": "image", "dat": "dataFile", "svg": "image", "pal": "paletteFile", "txt": "textFile", "rtf": "textFile", "json": "dataFile", "mp3": "soundFile", "wav": "soundFile", "snd": "soundFile"}
 
 
-def artifacts(chunks: DataFrame, found: DataFrame, enabled: list[str] | None = None, previous: DataFrame | None = None, gray: bool = False, known: Structure | None = None) -> DataFrame:
+def artifacts(chunks: DataFrame, found: DataFrame, enabled: list[str] | None = None, previous: DataFrame | None = None, gray: bool = False, known: Structure | None = None, preload_palettes: bool = False) -> DataFrame:
     """``(path, id, type, name, drop_reason, outcome, checksum, format, file, data, width, height, palette)`` for every member.
 
-    A member is dropped, with the first reason that holds: its type isn't ``enabled``, it owns nothing, or nothing it owns
+    A member is dropped, with the first reason that holds: its type isn't ``enabled``, it is a palette and ``preload_palettes`` says that these only serve others, it owns nothing, or nothing it owns
     has its type's content; a Script member's content is what ``scripts`` finds. Of the rest, one whose stored bytes hash as in ``previous(path, id, checksum)`` is ``unchanged``
     and isn't decoded; a section without a chunk is ``unresolved_reference``, one without bytes ``placeholder_source``.
     """
@@ -373,24 +434,31 @@ def artifacts(chunks: DataFrame, found: DataFrame, enabled: list[str] | None = N
     own_fx = F.try_element_at(F.filter(F.map_keys("sections"), lambda t: t.startswith("Fx")), F.lit(1))
     tag = F.coalesce(F.try_element_at(hits, F.lit(1)), F.when(F.col("type_id") == 14, own_fx))
     checks = [] if enabled is None else [("filtered_by_option", ~F.col("type").isin(*enabled))]
+    checks += [("palette_preload_only", F.col("type_id") == 4)] if preload_palettes else []
     checks += [("no_key_map", F.col("sections").isNull() & F.col("script").isNull()), ("no_matching_tags", F.col("content_tag").isNull())]
     known = known or structure(chunks)
     picked = found.join(scripts(chunks, found, known).withColumnRenamed("section", "script"), ["path", "id"], "left")
     own_tag = F.when(F.col("script").isNotNull(), F.lit("Lscr")).when(F.col("sections").isNotNull(), tag)
     picked = picked.withColumn("content_tag", own_tag).withColumn("drop_reason", first_reason(checks))
     picked = picked.withColumn("section", F.coalesce("script", F.try_element_at("sections", F.col("content_tag")))).withColumn("alpha_section", F.try_element_at("sections", F.lit("ALFA")))
-    source = latest(chunks).select("path", F.col("id").alias("section"), "size", "payload", F.col("stored_hash").alias("checksum"), F.lit(True).alias("there"))
-    alpha = latest(_of(chunks, "ALFA")).select("path", F.col("id").alias("alpha_section"), F.col("payload").alias("alpha"))
+    # Until it is known which members are decoded, no payload is read: only numbers, names and hashes meet.
+    slim = chunks.withColumn("payload", F.col("payload").isNotNull())
+    source = latest(slim).select("path", F.col("id").alias("section"), F.col("ord").alias("source_ord"), "size", F.col("stored_hash").alias("checksum"), F.lit(True).alias("there"))
+    alpha = latest(slim.where("tag = 'ALFA' and payload")).select("path", F.col("id").alias("alpha_section"), F.col("ord").alias("alpha_ord"))
     refs = resolved_palettes(chunks, found, known)
-    colors = palettes(chunks, found).select("path", F.col("id").alias("palette_ref"), "colors")
-    rows = picked.join(refs, ["path", "id"], "left").join(source, ["path", "section"], "left").join(alpha, ["path", "alpha_section"], "left").join(colors, ["path", "palette_ref"], "left")
+    rows = picked.join(refs, ["path", "id"], "left").join(source, ["path", "section"], "left").join(alpha, ["path", "alpha_section"], "left")
     old = previous if previous is not None else rows.sparkSession.createDataFrame([], "path string, id int, checksum string")
     rows = rows.join(old.select("path", "id", F.col("checksum").alias("old")), ["path", "id"], "left")
     early = first_reason([("dropped", F.col("drop_reason").isNotNull()), ("unresolved_reference", F.col("there").isNull()), ("placeholder_source", (F.col("size") <= 0) & (F.col("type_id") != 8)), ("unchanged", F.col("checksum") == F.col("old"))])
-    rows = rows.withColumn("early", early)
-    m = F.struct(*[F.col(c) for c in ("width", "height", "bit_depth", "pitch", "cast_flags", "rect", "shape_type", "pattern", "fore", "line_size", "spec", "palette_ref")])
-    # Rows settled early are not decoded.
-    todo = rows.where("early is null").withColumn("a", _decoder(gray)("type_id", "payload", m, "colors", "alpha"))
+    rows = materialize(rows.withColumn("early", early), "slim")
+    m = F.struct(*[F.col(c) for c in ("width", "height", "bit_depth", "pitch", "cast_flags", "rect", "shape_type", "pattern", "fore", "line_size", "spec", "palette_ref", "script_type")])
+    # Rows settled early are not decoded; the others fetch their bytes, each payload once, by its place in the file.
+    bytes_of = lambda place, name: _bytes(chunks).select("path", F.col("ord").alias(place), F.col("payload").alias(name))
+    tables = script_names(chunks, known.refs).select("path", F.col("id").alias("script"), "names_id").join(latest_names(chunks), ["path", "names_id"])
+    colors = palettes(chunks, found).select("path", F.col("id").alias("palette_ref"), "colors")
+    todo = rows.where("early is null").join(bytes_of("source_ord", "payload"), ["path", "source_ord"], "left").join(bytes_of("alpha_ord", "alpha").join(alpha.select("path", "alpha_ord"), ["path", "alpha_ord"], "left_semi"), ["path", "alpha_ord"], "left")
+    todo = todo.join(colors, ["path", "palette_ref"], "left").join(tables.select("path", "script", "names"), ["path", "script"], "left")
+    todo = todo.withColumn("a", _decoder(gray)("type_id", "payload", m, "colors", "alpha", "names")).select(*rows.columns, "a")
     done = rows.where("early is not null").withColumn("a", F.lit(None).cast(_ARTIFACT))
     both = todo.unionByName(done)
     raw = text.normalize_text(F.decode("a.data", "UTF-8"))
@@ -399,9 +467,14 @@ def artifacts(chunks: DataFrame, found: DataFrame, enabled: list[str] | None = N
     data = F.when(is_text, F.encode(F.when(plain, raw).otherwise(text.rtf(raw)), "UTF-8")).otherwise(F.col("a.data"))
     lines = F.transform(text.filled_lines(raw), lambda x: F.trim(x))
     classes = is_text & F.col("name").rlike("^member_\\d+$") & (F.size(lines) >= 23) & (F.array_join(F.slice(lines, 1, 3), ",") == "#object,#class,#list") & (F.size(F.filter(F.slice(lines, 4, 1 << 30), lambda x: x.rlike("^[^#=\\s][^=]*=\\s*\\["))) >= 20)
-    stem = text.sanitize(F.when(F.coalesce(classes, F.lit(False)), F.lit("fuse.object.classes")).otherwise(F.col("name")))
+    own = F.when(F.col("name").rlike(r"^member_\d+$"), F.col("a.renamed"))
+    stem = text.sanitize(F.when(F.coalesce(classes, F.lit(False)), F.lit("fuse.object.classes")).otherwise(F.coalesce(own, "name")))
+    label = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SCRIPT_LABELS.items() for x in kv]), F.coalesce("script_type", F.lit(0))), F.lit("UnknownScript"))
+    stem = F.when((F.col("type_id") == 11) & (stem == F.concat(F.lit("member_"), F.col("id").cast("string"))), label).otherwise(stem)
     stem = F.when(plain & is_text, F.regexp_replace(stem, r"\.[^.]+$", "")).otherwise(stem)
-    file = F.when(data.isNotNull(), F.concat(stem, F.lit("__"), F.col("id").cast("string"), F.lit("."), form))
+    decoders = F.col("type_id").isin(1, 53, 6, 10, 15, 16, 19)
+    ext = F.when(form != "dat", form).when(F.col("type_id") == 18, "svg.bin").when(decoders, "dat").otherwise("bin")
+    file = F.when(data.isNotNull(), F.concat(stem, F.lit("__"), F.col("id").cast("string"), F.lit("."), ext))
     outcome = F.when(F.col("early") == "dropped", None).otherwise(F.coalesce("early", "a.reason"))
     return both.select("path", "id", "type", "name", "is_orphan", "drop_reason", outcome.alias("outcome"), "checksum", form.alias("format"), file.alias("file"), data.alias("data"), F.coalesce("a.width", "width").alias("width"), F.coalesce("a.height", "height").alias("height"), F.col("resolution").alias("palette"))
 
@@ -417,11 +490,21 @@ def manifest(made: DataFrame) -> DataFrame:
     named = made.where("not (type = 'Null' and name rlike '^(member_.*)?$')")
     blank = lambda c: F.nullif(F.col(c), F.lit(""))
     column = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in FIELDS.items() for x in kv]), F.col("format")), F.lit("dataFile"))
-    fields = [F.when(column == c, F.col("file")).alias(c) for c in ("image", "paletteFile", "textFile", "soundFile", "dataFile")]
+    fields = [F.when(column == c, F.col("file")).alias(c) for c in ("image", "paletteFile", "scriptFile", "textFile", "soundFile", "dataFile")]
     one = F.struct("id", blank("name").alias("name"), "type", "outcome", F.when(F.col("is_orphan"), True).alias("isOrphan"), "checksum", "format", *fields, F.when(F.col("width") > 0, F.col("width")).alias("width"), F.when(F.col("height") > 0, F.col("height")).alias("height"))
     return named.groupBy("path").agg(F.to_json(F.struct(F.array_sort(F.collect_list(one)).alias("members"))).alias("manifest"))
 
 
+def chunk_of(wanted: DataFrame, chunks: DataFrame, prefer_mapped: bool = True, readable_only: bool = False) -> DataFrame:
+    """``wanted(path, id, ...)`` with ``chunk`` (the place of a chunk in its file) and ``how``: the chunk that the resource map gives the number, and the one that has it."""
+    slim = chunks.where("ord is not null" + (" and readable" if readable_only else "")).select("path", "id", "logical_id", "ord")
+    key = lambda c: F.struct("path", F.col(c).cast("bigint").alias("n"))
+    mapped = slim.where("logical_id <> id").groupBy(key("logical_id").alias("k")).agg(F.max("ord").alias("ord"))
+    direct = slim.groupBy(key("id").alias("k")).agg(F.max("ord").alias("ord"))
+    steps = [Step("mapped", mapped, "k", "ord", key("id")), Step("direct", direct, "k", "ord", key("id"))]
+    return fallback_chain(wanted, steps if prefer_mapped else steps[::-1], "chunk", "how")
+
+
 def diagnostics(chunks: DataFrame) -> DataFrame:
     return chunks.where("problem is not null").select("path", "form", "problem")
 

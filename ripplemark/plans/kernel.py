@@ -122,18 +122,24 @@ def priority_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""
-WITH p AS (SELECT c_custkey, s_suppkey, (CASE WHEN c_acctbal > 0 AND s_acctbal > 0 THEN 250 ELSE 0 END
+WITH d AS (SELECT DISTINCT o_custkey, l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+p AS (SELECT c_custkey, s_suppkey, (CASE WHEN c_nationkey = s_nationkey THEN 400 ELSE 0 END + CASE WHEN c_acctbal > 0 AND s_acctbal > 0 THEN 250 ELSE 0 END
            + greatest(0, 40 - least(abs(c_custkey % 100 - s_suppkey), 40)) + CASE WHEN s_suppkey < c_custkey THEN 5 ELSE 0 END)::INTEGER AS score
-           FROM customer JOIN supplier ON c_nationkey = s_nationkey),
+           FROM d JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey),
 r AS (SELECT *, row_number() OVER w AS rank, lead(score) OVER w AS second, count(*) OVER (PARTITION BY c_custkey) AS n
       FROM p WINDOW w AS (PARTITION BY c_custkey ORDER BY score DESC, s_suppkey))
 SELECT c_custkey, CASE WHEN n = 1 OR score > second THEN s_suppkey END AS supplier_key, score, n AS n_candidates FROM r WHERE rank = 1
 """)
 def scored_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer, supplier = read(spark, sf_dir, "customer"), read(spark, sf_dir, "supplier")
-    pairs = customer.join(supplier, F.col("c_nationkey") == F.col("s_nationkey"))
+    """Each customer's best supplier among those that delivered to them: no more pairs than lines."""
+    customer = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    supplier = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    lines = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    deals = lines.select("o_custkey", "l_suppkey").distinct()
+    pairs = deals.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     near = F.greatest(F.lit(0), 40 - F.least(F.abs(F.col("c_custkey") % 100 - F.col("s_suppkey")), F.lit(40)))
-    score = F.when((F.col("c_acctbal") > 0) & (F.col("s_acctbal") > 0), 250).otherwise(0) + near + F.when(F.col("s_suppkey") < F.col("c_custkey"), 5).otherwise(0)
+    home = F.when(F.col("c_nationkey") == F.col("s_nationkey"), 400).otherwise(0)
+    score = home + F.when((F.col("c_acctbal") > 0) & (F.col("s_acctbal") > 0), 250).otherwise(0) + near + F.when(F.col("s_suppkey") < F.col("c_custkey"), 5).otherwise(0)
     return lookup.scored_match(pairs, "c_custkey", "s_suppkey", score.cast("int"), "supplier_key")
 
 

@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .cursor import Cursor
 from .tags import canonical
 
+#: Zeros that a chunk cut off by the file's end may be filled up with; one that lacks more has no bytes, and a problem either way.
+FILL = 1 << 26
 PACKED = ("FGDC", "FGDM", "CDGF", "MDGF")
-#: Bytes that one compressed chunk may inflate to.
-MAX_INFLATED = 1 << 28
 
 
 def inflate(data: bytes) -> bytes | None:
@@ -25,7 +25,7 @@ def inflate(data: bytes) -> bytes | None:
     for bits in (15, -15):
         try:
             engine = zlib.decompressobj(bits)
-            out = engine.decompress(data, MAX_INFLATED)
+            out = engine.decompress(data)
             if engine.eof:
                 return out
         except zlib.error:
@@ -33,6 +33,14 @@ def inflate(data: bytes) -> bytes | None:
     return None
 
 
+def unpacked(data: bytes) -> bytes:
+    """What a chunk inflates to, from its start or from a zlib header within the seven bytes behind it; as it is where nothing inflates."""
+    for at in range(min(8, len(data))):
+        if (at == 0 or data[at] == 0x78) and (out := inflate(data[at:])):
+            return out
+    return data
+
+
 @dataclass
 class Chunk:
     tag: str
@@ -59,14 +67,24 @@ class Container:
     problems: list[str] = field(default_factory=list)
 
     def stored(self, chunk: Chunk) -> bytes | None:
-        """A chunk's bytes as they lie in the file; short reads are filled with zeros, those outside give None."""
+        """A chunk's bytes as they lie in the file; short reads are filled with zeros, those outside give None (``cut`` tells of both)."""
+        data, at = self.place(chunk)
+        if chunk.size <= 0 or at < 0 or at >= len(data) or chunk.size - (len(data) - at) > FILL:
+            return None
+        return data[at : at + chunk.size].ljust(chunk.size, b"\0")
+
+    def place(self, chunk: Chunk) -> tuple[bytes, int]:
         if chunk.inline and self.body is not None:
-            data, at = self.body, chunk.offset
-        else:
-            data, at = self.data, chunk.offset + (8 if self.base is None else self.base)
-        if chunk.size <= 0 or at < 0 or at >= len(data):
+            return self.body, chunk.offset
+        return self.data, chunk.offset + (8 if self.base is None else self.base)
+
+    def cut(self, chunk: Chunk) -> str | None:
+        """What is wrong with where a chunk lies."""
+        data, at = self.place(chunk)
+        if chunk.size <= 0 or 0 <= at <= len(data) - chunk.size:
             return None
-        return data[at : at + chunk.size].ljust(chunk.size, b"\0") if chunk.size <= 4 * len(data) + 4096 else None
+        there = max(0, len(data) - at) if at >= 0 else 0
+        return f"chunk {chunk.ident} ({canonical(chunk.tag)}) is cut off: {there} of {chunk.size} bytes"
 
     def payload(self, chunk: Chunk) -> bytes | None:
         raw = self.stored(chunk)
@@ -74,7 +92,7 @@ class Container:
             return None
         looks = len(raw) > 2 and raw[0] == 0x78 and raw[1] in (0x01, 0x9C, 0xDA)
         if chunk.packed == 1 or (chunk.full_size > 0 and chunk.full_size != chunk.size) or looks:
-            return inflate(raw) or raw
+            return unpacked(raw)
         return raw
 
     def find(self, ident: int) -> Chunk | None:
@@ -235,7 +253,8 @@ def rows_of(path: str, data: bytes | None) -> Iterator[tuple]:
         raw = box.stored(c)
         digest = hashlib.sha256(raw).hexdigest() if raw is not None else None
         yield path, box.form, box.subtype, box.big, i, canonical(c.tag), c.ident, c.size, c.full_size, raw is not None, back.get(c.ident, c.ident), digest, box.payload(c), None
-    for p in box.problems:
+    free = ("free", "junk", "RIFX", "mmap", "imap")
+    for p in [*box.problems, *(p for c in box.chunks if canonical(c.tag) not in free and c.tag[::-1] not in free and (p := box.cut(c)))]:
         yield path, box.form, box.subtype, box.big, None, None, None, None, None, False, None, None, None, p
 
 

@@ -74,3 +74,97 @@ def packed(chunks: list[tuple[int, str, bytes, bool]], fmap: dict[int, int] | No
     maps = section(b"Fmap", b"".join(varint(a) + varint(b) for a, b in fmap.items())) if fmap else b""
     out = section(b"Fver", b"\x01") + maps + section(b"Abmp", abmp) + b"FGEI" + varint(2) + tail
     return b"RIFX" + struct.pack(">I", len(out) + 4) + b"FGDC" + out
+
+
+def bitmap_spec(width: int, height: int, depth: int = 8, palette: int = 0) -> bytes:
+    return struct.pack(">H4h8x", 0x8000 | width * depth // 8, 0, 0, height, width) + struct.pack(">hhBBhh", 0, 0, 0, depth, 0, palette)
+
+
+def shape_spec(kind: int, width: int, height: int, line: int, pattern: int = 0, fore: int = 0) -> bytes:
+    return struct.pack(">H4hhhHHhh", 0, 0, 0, height, width, kind, pattern, fore, 0, line, 0)
+
+
+def sound(samples: bytes, rate: int, channels: int = 1) -> bytes:
+    """A sound resource of the second form with an extended header."""
+    return struct.pack(">HHH8s4xIH10xBB", 2, 0, 1, b"", channels, rate, 0xFF, 0) + struct.pack(">26xH18x", 8) + samples
+
+
+def film_loop(frames: list[dict[int, tuple[int, ...]]]) -> bytes:
+    """``{channel: (member, ink, blend, top, left, bottom, right)}`` of what changes in each frame."""
+    body = b""
+    for changes in frames:
+        part = b"".join(struct.pack(">BHBB4h", c, *v) for c, v in changes.items())
+        body += struct.pack(">H", len(part)) + part
+    return bytes(12) + struct.pack(">IHI", 0, 0, len(frames)) + body
+
+
+def config(low: int, high: int, version: int, depth: int, rate: int) -> bytes:
+    out = bytearray(68)
+    for at, value in ((12, low), (14, high), (28, depth), (36, version), (54, rate), (56, 1024), (58, 1)):
+        struct.pack_into(">h", out, at, value)
+    return bytes(out)
+
+
+def timeline(frames: int, markers: list[tuple[int, str]]) -> bytes:
+    labels = b"".join(struct.pack(">HB", f, len(n.encode())) + n.encode() for f, n in markers)
+    return struct.pack(">III", 0, frames, 12) + struct.pack(">H", len(markers)) + labels
+
+
+def name_table(names: list[str]) -> bytes:
+    raw = [n.encode()[:255] for n in names]
+    return struct.pack(">iiIIHH", 0, 0, 0, 0, 20, len(raw)) + b"".join(bytes([len(r)]) + r for r in raw)
+
+
+def script_context(sections: list[int], names: int = -1) -> bytes:
+    """Slot i + 1 holds section i."""
+    return struct.pack(">8xIIHH12xi", len(sections), len(sections), 36, 8, names) + b"".join(struct.pack(">ii", 0, s) for s in sections)
+
+
+def assemble(*codes: tuple) -> bytes:
+    """Instructions ``(operation, operand)``, each operand in as few bytes as it needs; a third item tells their number."""
+    from ..functions.scripts import _PLAIN, _WIDE
+
+    plain, wide = ({n: i for i, n in t.items()} for t in (_PLAIN, _WIDE))
+    out = b""
+    for op, *rest in codes:
+        if op in plain:
+            out += bytes([plain[op]])
+            continue
+        value = rest[0]
+        size = rest[1] if len(rest) > 1 else 4 if isinstance(value, float) else 1 if 0 <= value < 128 else 2 if 0 <= value < 32768 else 4
+        base = {1: 0x40, 2: 0x80, 4: 0xC0}[size]
+        out += bytes([base + wide[op]]) + (struct.pack(">f", value) if isinstance(value, float) else (value & (256**size - 1)).to_bytes(size, "big"))
+    return out
+
+
+def script(names: list[str], handlers: list[tuple[str, list[str], list[str], bytes]], literals: list[str | int | float] = (), properties: list[str] = (), kind: int = 0) -> bytes:
+    """A script chunk of the older form: handlers are ``(name, arguments, locals, code)``."""
+    number = {n: i for i, n in enumerate(names)}
+    ids = lambda told: b"".join(struct.pack(">H", number[n]) for n in told)
+    body, at, rows = b"", 92, []
+
+    def place(data: bytes) -> int:
+        nonlocal body, at
+        start = at
+        body, at = body + data, at + len(data)
+        return start
+
+    props = place(ids(properties))
+    for name, args, local, code in handlers:
+        start, args_at, local_at = place(code), place(ids(args)), place(ids(local))
+        rows.append(struct.pack(">HHIIHIHI22x", number[name], 0, len(code), start, len(args), args_at, len(local), local_at))
+    table = place(b"".join(rows))
+    told, data = b"", b""
+    for x in literals:
+        kind_, raw = (1, struct.pack(">I", len(x.encode()) + 1) + x.encode() + b"\0") if isinstance(x, str) else (2, struct.pack(">i", x)) if isinstance(x, int) else (9, struct.pack(">Id", 8, x))
+        told += struct.pack(">II", kind_, len(data))
+        data += raw
+    where, stored = place(told), place(data)
+    head = bytearray(92)
+    struct.pack_into(">HH", head, 16, 92, kind)
+    struct.pack_into(">h", head, 48, -1)
+    struct.pack_into(">HI", head, 60, len(properties), props)
+    struct.pack_into(">HI", head, 72, len(rows), table)
+    struct.pack_into(">HI", head, 78, len(literals), where)
+    struct.pack_into(">II", head, 84, len(data), stored)
+    return bytes(head) + body.ljust(40, b"\0")

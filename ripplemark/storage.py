@@ -46,6 +46,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` wrote, when nothing reads it any longer."""
+    spark = df.sparkSession
+    own = shared_dir(spark).rstrip("/").removeprefix("file:").lstrip("/")
+    for folder in {f.rsplit("/data/", 1)[0] for f in df.inputFiles() if "/ripplemark-" in f and "/data/" in f}:
+        if folder.removeprefix("file:").lstrip("/").startswith(own):
+            jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that no column of ``df`` has (letter case ignored)."""
     taken = {c.lower() for c in df.columns}

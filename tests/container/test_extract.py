@@ -167,12 +167,13 @@ def test_script_artifacts(spark):
     def read(chunks, keys):
         data = writer.container([("KEY*", writer.key_table(keys)), *chunks])
         chunks = materialize(container.chunks_of(spark.createDataFrame([("p", bytearray(data))], "path string, content binary")), "chunks")
-        return {r["id"]: (r["type"], r["outcome"], r["format"], r["data"] and r["data"][0]) for r in extract.artifacts(chunks, materialize(extract.members(chunks), "members")).collect()}
+        told = {hashlib.sha256(code(n)).hexdigest(): n for n in range(1, 5)}
+        return {r["id"]: (r["type"], r["outcome"], r["format"], told.get(r["checksum"])) for r in extract.artifacts(chunks, materialize(extract.members(chunks), "members")).collect()}
 
     # Chunks are numbered from 4 (the key table is 3): three records, three scripts under one owned context, the context.
     owned = [script("a", 3), script("b", 1), script("c", 2), ("Lscr", code(1)), ("Lscr", code(2)), ("Lscr", code(3)), ("LctX", context([7, 8, 9]))]
     got = read(owned, [(4, 1, "CASt"), (5, 2, "CASt"), (6, 3, "CASt"), (10, 50, "LctX")])
-    done = lambda n: ("Script", "extracted", "dat", n)
+    done = lambda n: ("Script", "extracted", "ls", n)
     assert got == {1: done(3), 2: done(1), 3: done(2), 50: ("Null", None, None, None)}
     # A slot without a member is one itself; members whose script number names no slot take the scripts in no context in their order.
     loose = [script("a", 2), script("b", 77), script("c", 78), ("Lscr", code(1)), ("Lscr", code(2)), ("Lscr", code(3)), ("Lscr", code(4)), ("LctX", context([7, 9]))]

@@ -19,6 +19,17 @@ def test_asof_ties_nulls_and_clashing_columns(spark):
     assert got["a"] == 101
 
 
+def test_asof_of_hot_keys_in_slices(spark):
+    import random
+
+    rng = random.Random(5)
+    left = [(rng.choice((1, 1, 1, 2, None)), rng.choice((None, *range(40))), i) for i in range(400)]
+    right = [(rng.choice((1, 1, 1, 3, None)), rng.choice((None, *range(40))), rng.choice((None, *range(50)))) for _ in range(120)]
+    a, b = spark.createDataFrame(left, "k int, t int, n int"), spark.createDataFrame(right, "k int, t int, v int")
+    for more in ({}, {"default_first": True}, {"allow_equal": True}):
+        assert rows(asof.asof_preceding(a, b, ["k"], "t", "v", "w", hot_rows=30, **more)) == rows(asof.asof_preceding(a, b, ["k"], "t", "v", "w", **more))
+
+
 def test_dedup(spark):
     df = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (None, 1, "z"), (None, 1, "z")], "k int, o int, n string")
     assert rows(dedup.first_wins(df, ["k"], ["o", "n"])) == [(1, 1, "x"), (None, 1, "z")]
@@ -52,6 +63,8 @@ def test_positions_with_ties_and_nulls(spark):
     got = [r["id"] for r in sequence.positions(df, ["v", "id"], "pos").orderBy("pos").collect()]
     assert got == [1] + [i for _, i in sorted((i % 7, i) for i in range(500))]
     assert sequence.positions(df.limit(0), ["v", "id"], "pos").count() == 0
+    same = spark.createDataFrame([("x", i) for i in range(300)] + [(None, 5)], "v string, id int")
+    assert [r["id"] for r in sequence.positions(same, ["v", "id"], "pos", 7).orderBy("pos").collect()] == [5, *range(300)]
 
 
 def test_closure_of_a_cycle_and_chain_outcomes(spark):
