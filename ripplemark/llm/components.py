@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from ..storage import discard, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -25,7 +25,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # After the large step every edge points down (v < u): the small step ties a node's smaller neighbours to the least.
         small = large.select("u", "v", F.min("v").over(by_u).alias("m"))
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        stars = materialize(small, "edges")
+        old, stars = stars, materialize(small, "edges")
+        discard(old)  # written anew, so nothing reads it any longer
         # An unchanged set of edges (by count and sum of hashes) is a forest of stars.
         after = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if after == before:

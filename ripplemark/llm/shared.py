@@ -1,63 +1,13 @@
-"""Helpers that the corpus operators share: tables in the cluster's shared folder and collision-free names."""
+"""Helpers that the corpus operators share; tables in the shared folder and collision-free names are the core's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_OWN_DIR = "spark.ripplemark.scratch"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor can reach: ``spark.checkpoint.dir``.
-
-    Only a local session that leaves it unset (tests) gets a folder of its own;
-    a cluster session without it is an error, since a machine-local folder would lose data.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_OWN_DIR, None)
-    if path:
-        return path
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = "file://" + tempfile.mkdtemp(prefix="ripplemark-")
-    spark.conf.set(_OWN_DIR, path)
-    return path
-
+from ..storage import fresh, materialize, read, scratch_path, shared_dir
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, deleted when the session's JVM ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/ripplemark-{label}-{uuid.uuid4().hex}"
-    sc = spark.sparkContext
-    jpath = sc._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(sc._jsc.hadoopConfiguration())
-    fs.mkdirs(jpath)
-    fs.deleteOnExit(jpath)
-    return path
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut and no executor loss can undo it."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label) + "/data"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """Column names that no column of ``df`` has (letter case ignored)."""
-    taken = {c.lower() for c in df.columns}
-    out = []
-    for name in names:
-        candidate = f"__{name}"
-        while candidate.lower() in taken:
-            candidate += "_"
-        taken.add(candidate.lower())
-        out.append(candidate)
-    return out
+__all__ = ["WORD_COUNT_SQL", "fresh", "materialize", "read", "scratch_path", "shared_dir", "uniform", "word_count"]
 
 
 def uniform(seed: str, *key: Column) -> Column:
@@ -73,6 +23,3 @@ def word_count(text: Column) -> Column:
 
 WORD_COUNT_SQL = "coalesce(len(regexp_extract_all({0}, '[^ \\t\\n\\r\\f]+')), 0)"
 
-
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")

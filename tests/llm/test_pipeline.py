@@ -1,6 +1,10 @@
+from collections import Counter
+
 import corpus_pipeline
 import pytest
 from common import odd_docs
+from test_mixing import inverse, unit
+from test_packing import slow_best_fit
 
 from compare import compare
 from ripplemark.llm import mixing, packing, queries, simhash, toxicity
@@ -51,12 +55,31 @@ def test_each_stage_against_brute_force(spark):
 
     third = materialize(corpus_pipeline.mix_sources(spark, second, SF), "m")
     assert third.columns == columns
-    assert {r["doc_id"] for r in third.collect()} <= kept
-    assert abs(third.count() / second.count() - mixing.EPOCHS) < 0.25
+    mixed = third.collect()
+    left = {r["doc_id"]: r for r in second.collect()}
+    size, weight = Counter(), {}
+    for r in left.values():
+        size[r["source"]] += len(r["text"].split())
+        weight[r["source"]] = mixing.WEIGHTS.get(r["source"], mixing.DEFAULT_WEIGHT)
+    rate = {s: weight[s] / sum(weight.values()) * sum(size.values()) * mixing.EPOCHS / size[s] if size[s] else 0.0 for s in size}
+    times = {d: inverse(rate[r["source"]], unit(mixing.SEED, d)) if rate[r["source"]] else 0 for d, r in left.items()}
+    assert Counter(r["doc_id"] for r in mixed) == Counter({d: n for d, n in times.items() if n})
+    assert all(r == left[r["doc_id"]] for r in mixed)
 
     last = corpus_pipeline.pack_sequences(spark, third, SF)
     words = sum(len(r["text"].split()) for r in third.collect())
     assert last.agg({"n_tokens": "sum"}).first()[0] == words
+    lengths = Counter()
+    for r in mixed:
+        n = len(r["text"].split())
+        lengths.update(min(packing.CAPACITY, n - i) for i in range(0, n, packing.CAPACITY))
+    pieces = [r for r in last.collect() if r["n_tokens"]]
+    assert Counter(r["n_tokens"] for r in pieces) == lengths
+    grain = packing.CAPACITY // packing.UNITS
+    histogram = Counter()
+    for n, times_ in lengths.items():
+        histogram[-(-n // grain)] += times_
+    assert len({r["bin_id"] for r in pieces}) <= slow_best_fit(histogram, packing.UNITS)
     assert last.groupBy("bin_id").agg({"n_tokens": "sum"}).where(f"bin_id is not null and `sum(n_tokens)` > {packing.CAPACITY}").count() == 0
 
 
