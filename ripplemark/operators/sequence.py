@@ -25,8 +25,16 @@ def positions(df: DataFrame, order: list[str], alias: str, splits: int = SPLITS)
     keys = sorted({tuple(r) for r in keys}, key=least)
     cuts = [keys[len(keys) * i // splits] for i in range(1, splits)] if len(keys) > splits else keys[1:]
     part, n, before = fresh(df, "part", "n", "before")
-    own = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
-    place = F.size(F.filter(F.array(*[one(c) for c in cuts]), lambda c: c <= own)) if cuts else F.lit(0)
+    firsts = [c[0] for c in cuts]
+    if not cuts:
+        place = F.lit(0)
+    elif None not in firsts and len(set(firsts)) == len(firsts):
+        # No value of the first column spans parts: it alone is compared.
+        lead = F.array(*[F.lit(v).cast(kinds[0]) for v in firsts])
+        place = F.coalesce(F.size(F.filter(lead, lambda c: c <= F.col(order[0]))), F.lit(0))
+    else:
+        own = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
+        place = F.size(F.filter(F.array(*[one(c) for c in cuts]), lambda c: c <= own))
     parted = df.withColumn(part, place)
     # At most ``splits`` rows: a global window over them is one small task.
     sizes = parted.groupBy(part).agg(F.count("*").alias(n))

@@ -152,12 +152,18 @@ class Structure:
     refs: DataFrame
     order: DataFrame
     movies: DataFrame
+    #: Which of ``OPTIONAL`` any file has: steps for what no file has are left out of the plans.
+    tags: frozenset[str]
+
+
+OPTIONAL = ("Lscr", "LctX", "Lnam", "CLUT", "ALFA")
 
 
 def structure(chunks: DataFrame) -> Structure:
+    there = frozenset(r["tag"] for r in chunks.where(F.col("tag").isin(*OPTIONAL)).select("tag").distinct().collect())
     keys = materialize(key_entries(chunks), "keys")
     refs = materialize(script_refs(chunks, keys), "refs")
-    return Structure(keys, refs, materialize(cast_order(chunks, keys, refs), "order"), materialize(movies(chunks), "movies"))
+    return Structure(keys, refs, materialize(cast_order(chunks, keys, refs), "order"), materialize(movies(chunks), "movies"), there)
 
 
 def _lookup(table: dict[int, tuple], kind: str) -> Column:
@@ -265,6 +271,8 @@ def script_sections(chunks: DataFrame, found: DataFrame, known: Structure | None
 def scripts(chunks: DataFrame, found: DataFrame, known: Structure | None = None) -> DataFrame:
     """``(path, id, section)``: the script of each Script member: by its slot, else the one it owns; where that has no bytes, a dangling one."""
     known = known or structure(chunks)
+    if not known.tags & {"Lscr", "LctX"}:
+        return chunks.sparkSession.createDataFrame([], "path string, id int, section int")
     # Every step reads the members again: what they need of them, in files with scripts, is written once.
     files = chunks.where("tag = 'Lscr'").select("path").unionByName(known.refs.select("path")).distinct()
     slim = materialize(found.select("path", "id", "type_id", "script_id", "record_ord", "sections").join(files, "path", "left_semi"), "scripted")
@@ -334,6 +342,10 @@ def resolved_palettes(chunks: DataFrame, found: DataFrame, structural: Structure
     """``(path, id, palette_ref, resolution)`` of each bitmap: the slot's member, the member of that id, that of a bitmap of that id (and so on), the nearest palette before, the first, or a built-in one (negative)."""
     known = palettes(chunks, found).select("path", F.col("id").alias("pal"))
     structural = structural or structure(chunks)
+    built_in = F.col("palette_id").between(-102, -1)
+    if "CLUT" not in structural.tags:
+        images = found.where("type_id in (1, 53)")
+        return images.select("path", "id", F.when(built_in, F.col("palette_id")).otherwise(-1).alias("palette_ref"), F.when(built_in, "system").otherwise("default").alias("resolution"))
     order = structural.order.join(known.withColumnRenamed("pal", "id"), ["path", "id"]).select("path", "slot", F.col("id").alias("pal"))
     low = structural.movies.select("path", F.coalesce("min_member", F.lit(1)).alias("low"))
     maps = asof_preceding(found.where("type_id in (1, 53)").select("path", "id", "palette_id"), known.withColumn("id", F.col("pal")), ["path"], "id", "pal", "near", default_first=True)
@@ -342,10 +354,9 @@ def resolved_palettes(chunks: DataFrame, found: DataFrame, structural: Structure
     key = lambda c: F.struct("path", F.col(c).cast("int").alias("n"))
     slots, direct = order.select(key("slot").alias("k"), "pal"), known.select(key("pal").alias("k"), "pal")
     out = fallback_chain(maps, [Step("slot", slots, "k", "pal", at("slot_no")), Step("direct", direct, "k", "pal", at("palette_id")), Step("order", slots, "k", "pal", at("palette_id"))], "custom", "by")
-    chained = _borrowed(found)
+    chained = _borrowed(found) if "CLUT" in structural.tags else None
     if chained is not None:
         out = out.join(chained, ["path", "id"], "left").withColumn("by", F.when(F.col("custom").isNull() & F.col("lent").isNotNull(), "borrowed").otherwise(F.col("by"))).withColumn("custom", F.coalesce("custom", "lent"))
-    built_in = F.col("palette_id").between(-102, -1)
     ref = F.when(F.col("custom").isNotNull(), F.col("custom")).when(built_in, F.col("palette_id")).otherwise(F.coalesce("near", F.lit(-1)))
     how = F.when(F.col("custom").isNotNull(), F.col("by")).when(built_in, F.lit("system")).when(F.col("near").isNotNull(), F.lit("nearest")).otherwise("default")
     return out.select("path", "id", ref.alias("palette_ref"), how.alias("resolution"))
@@ -446,7 +457,8 @@ def artifacts(chunks: DataFrame, found: DataFrame, enabled: list[str] | None = N
     source = latest(slim).select("path", F.col("id").alias("section"), F.col("ord").alias("source_ord"), "size", F.col("stored_hash").alias("checksum"), F.lit(True).alias("there"))
     alpha = latest(slim.where("tag = 'ALFA' and payload")).select("path", F.col("id").alias("alpha_section"), F.col("ord").alias("alpha_ord"))
     refs = resolved_palettes(chunks, found, known)
-    rows = picked.join(refs, ["path", "id"], "left").join(source, ["path", "section"], "left").join(alpha, ["path", "alpha_section"], "left")
+    rows = picked.join(refs, ["path", "id"], "left").join(source, ["path", "section"], "left")
+    rows = rows.join(alpha, ["path", "alpha_section"], "left") if "ALFA" in known.tags else rows
     old = previous if previous is not None else rows.sparkSession.createDataFrame([], "path string, id int, checksum string")
     rows = rows.join(old.select("path", "id", F.col("checksum").alias("old")), ["path", "id"], "left")
     early = first_reason([("dropped", F.col("drop_reason").isNotNull()), ("unresolved_reference", F.col("there").isNull()), ("placeholder_source", (F.col("size") <= 0) & (F.col("type_id") != 8)), ("unchanged", F.col("checksum") == F.col("old"))])
@@ -454,10 +466,20 @@ def artifacts(chunks: DataFrame, found: DataFrame, enabled: list[str] | None = N
     m = F.struct(*[F.col(c) for c in ("width", "height", "bit_depth", "pitch", "cast_flags", "rect", "shape_type", "pattern", "fore", "line_size", "spec", "palette_ref", "script_type")])
     # Rows settled early are not decoded; the others fetch their bytes, each payload once, by its place in the file.
     bytes_of = lambda place, name: _bytes(chunks).select("path", F.col("ord").alias(place), F.col("payload").alias(name))
-    tables = script_names(chunks, known.refs).select("path", F.col("id").alias("script"), "names_id").join(latest_names(chunks), ["path", "names_id"])
-    colors = palettes(chunks, found).select("path", F.col("id").alias("palette_ref"), "colors")
-    todo = rows.where("early is null").join(bytes_of("source_ord", "payload"), ["path", "source_ord"], "left").join(bytes_of("alpha_ord", "alpha").join(alpha.select("path", "alpha_ord"), ["path", "alpha_ord"], "left_semi"), ["path", "alpha_ord"], "left")
-    todo = todo.join(colors, ["path", "palette_ref"], "left").join(tables.select("path", "script", "names"), ["path", "script"], "left")
+    todo = rows.where("early is null").join(bytes_of("source_ord", "payload"), ["path", "source_ord"], "left")
+    if "ALFA" in known.tags:
+        todo = todo.join(bytes_of("alpha_ord", "alpha").join(alpha.select("path", "alpha_ord"), ["path", "alpha_ord"], "left_semi"), ["path", "alpha_ord"], "left")
+    else:
+        todo = todo.withColumn("alpha", F.lit(None).cast("binary"))
+    if "CLUT" in known.tags:
+        todo = todo.join(palettes(chunks, found).select("path", F.col("id").alias("palette_ref"), "colors"), ["path", "palette_ref"], "left")
+    else:
+        todo = todo.withColumn("colors", F.lit(None).cast("binary"))
+    if {"Lscr", "Lnam"} <= known.tags:
+        tables = script_names(chunks, known.refs).select("path", F.col("id").alias("script"), "names_id").join(latest_names(chunks), ["path", "names_id"])
+        todo = todo.join(tables.select("path", "script", "names"), ["path", "script"], "left")
+    else:
+        todo = todo.withColumn("names", F.lit(None).cast("array<string>"))
     todo = todo.withColumn("a", _decoder(gray)("type_id", "payload", m, "colors", "alpha", "names")).select(*rows.columns, "a")
     done = rows.where("early is not null").withColumn("a", F.lit(None).cast(_ARTIFACT))
     both = todo.unionByName(done)
