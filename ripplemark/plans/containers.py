@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..batches import pieces
 from ..sources import container, writer
 from ..storage import materialize, read
 from . import extract
@@ -23,9 +24,9 @@ def page_containers(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in range(0, len(batch), 256):
+            for part in pieces(tuple(batch.columns)):
                 paths, blobs = [], []
-                for r in batch.slice(s, 256).to_pylist():
+                for r in pa.record_batch(list(part), names=batch.schema.names).to_pylist():
                     big = (r["page_id"] or 0) % 2 == 0
                     keys = writer.key_table([(4, 1, "CASt"), (5, 1, "STXT"), (6, 2, "CASt"), (7, 2, "STXT")], big)
                     chunks = [("KEY*", keys), ("CASt", writer.member(3, "address.txt", big=big)), ("STXT", writer.stxt(r["url"] or "")), ("CASt", writer.member(3, "source.html", big=big)), ("STXT", writer.stxt(r["html"] or ""))]

@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..batches import gathered, pieces
 from ..functions import payloads
 from ..sources import container, writer
-from ..storage import materialize, read
+from ..storage import materialize, read, spread
 from . import extract
 from .kernel import _normal_sql
 
@@ -31,15 +32,16 @@ def _query(sql: str):
 
 
 def containers_of(rows: DataFrame, build: Callable[[dict], bytes], key: str) -> DataFrame:
-    """``(path, content)``: the container that ``build`` makes of each row; ``key`` names it."""
+    """``(path, content)``: the container that ``build`` makes of each row, in as many tasks as the rows need; ``key`` names it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in range(0, len(batch), 256):
-                part = batch.slice(s, 256).to_pylist()
-                yield pa.record_batch([pa.array([f"x-{r[key]}" for r in part]), pa.array([build(r) for r in part], pa.binary())], names=["path", "content"])
+            for part in pieces(tuple(batch.columns)):
+                made = ((f"x-{r[key]}", build(r)) for r in pa.record_batch(list(part), names=batch.schema.names).to_pylist())
+                for files in gathered(made, lambda f: len(f[1])):
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*files), (pa.string(), pa.binary()))], names=["path", "content"])
 
-    return rows.mapInArrow(run, "path string, content binary")
+    return spread(rows).mapInArrow(run, "path string, content binary")
 
 
 def members_of(*members: tuple[bytes, str | None, bytes | None], extra: list[tuple[str, bytes]] = (), big: bool = True) -> bytes:
@@ -130,7 +132,7 @@ def _image_file(r: dict) -> bytes:
 @F.arrow_udf(T.StringType())
 def _pixels(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """The pixels of images whose rows are unfiltered, as hexadecimal digits."""
-    for batch in batches:
+    for (batch,) in (part for whole in batches for part in pieces((whole,))):
         out = []
         for blob in batch.to_pylist():
             width, height = struct.unpack_from(">II", blob, 16)
@@ -221,7 +223,7 @@ def packed_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @F.arrow_udf(T.StructType([T.StructField("packed", T.StringType()), T.StructField("inflated", T.StringType())]))
 def _coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in batches:
+    for (batch,) in (part for whole in batches for part in pieces((whole,))):
         out = []
         for data in batch.to_pylist():
             raw = (data or "").encode()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 #: Canonical tag by spelling; a spelling may also be stored reversed.
 _SPELLINGS = {
     "KEY*": "YEK* KEY", "CASt": "CAS* cas* CArT CAsT cast CAS2", "CLUT": "clut Palt palt PALT", "BITD": "bitd DIB DIB*",
@@ -13,6 +15,7 @@ _SPELLINGS = {
 ALIASES = {s: canon for canon, others in _SPELLINGS.items() for s in (canon, *others.split())}
 
 
+@lru_cache(4096)
 def canonical(tag: str) -> str:
     """The usual spelling of a tag (blanks at its ends don't count): as it is, else reversed, else unchanged."""
     for t in (tag, tag[::-1]):

@@ -46,6 +46,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_sort(df: DataFrame) -> DataFrame:
+    """``df``, and what is derived from it without a join, meets other tables by sorting and is never broadcast.
+
+    The optimizer takes a table for as large as its files. Those of paths and numbers that repeat are a small part of
+    what their rows take, so tables of all files' members would be sent to the driver.
+    """
+    return df.hint("merge")
+
+
+def spread(rows: DataFrame, each: int = 50_000) -> DataFrame:
+    """``rows`` in parts of about ``each`` rows, and in two parts for each core at least: a table of one row group is else read by one task."""
+    parts = max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // each))
+    return rows.repartition(parts)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that ``materialize`` wrote, when nothing reads it any longer."""
     spark = df.sparkSession

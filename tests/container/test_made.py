@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 from compare import compare
 
 from ripplemark.functions import payloads
@@ -87,3 +88,18 @@ def test_chunks_that_the_file_cuts_off_are_told():
 def test_a_bitmap_wider_than_any_guess_keeps_its_size():
     form, art, *size = payloads.bitmap(bytes(45000), 4500, 10, 8)
     assert (form, size) == ("png", [4500, 10])
+
+
+def test_tables_of_all_members_are_not_sent_to_the_driver(spark):
+    files = made.containers_of(spark.range(50).selectExpr("id as p_partkey"), made._outcome_file, "p_partkey")
+    chunks = materialize(container.chunks_of(files), "chunks")
+    known = extract.structure(chunks)
+    found = extract.members(chunks, known)
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in (found, extract.artifacts(chunks, materialize(found, "members"), known=known))]
+    assert all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
+
+
+def test_containers_are_built_by_many_tasks(spark):
+    rows = spark.range(0, 1000, 1, 1).selectExpr("id as p_partkey")
+    parts = made.containers_of(rows, made._outcome_file, "p_partkey").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(parts) == 2 * spark.sparkContext.defaultParallelism and sum(r["count"] for r in parts) == 1000
