@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,7 +57,15 @@ def members_of(*members: tuple[bytes, str | None, bytes | None], extra: list[tup
             if data is not None:
                 chunks.append((tag, data))
                 at += 1
-    return writer.container([("KEY*", writer.key_table(keys, big)), *chunks, *extra], big)
+    return writer.container([("KEY*", _key_table(tuple(keys), big)), *chunks, *extra], big)
+
+
+@lru_cache(256)
+def _key_table(keys: tuple[tuple[int, int, str], ...], big: bool) -> bytes:
+    return writer.key_table(list(keys), big)
+
+
+_member = lru_cache(256)(writer.member)
 
 
 def _number(name: str) -> Column:
@@ -240,7 +249,7 @@ def payload_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _movie_file(r: dict) -> bytes:
     day, status = r["day"], r["o_orderstatus"]
     extra = [("DRCF", writer.config(1, r["o_orderkey"] % 500 + 1, 1200, 8 << r["o_orderkey"] % 3, day)), ("VWSC", writer.timeline(day, [(1, status), (day, r["o_orderpriority"])]))]
-    return members_of((writer.member(3, "note"), "STXT", writer.stxt(status)), extra=extra)
+    return members_of((_member(3, "note"), "STXT", writer.stxt(status)), extra=extra)
 
 
 @_query("""
@@ -251,7 +260,7 @@ FROM (SELECT *, dayofyear(o_orderdate) AS d FROM orders)
 def movie_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as movie settings and timelines, and back as tables."""
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", F.dayofyear("o_orderdate").alias("day"))
-    chunks = materialize(container.chunks_of(containers_of(orders, _movie_file, "o_orderkey")), "chunks")
+    chunks = materialize(container.chunks_of(containers_of(orders, _movie_file, "o_orderkey"), "DRCF", *extract.TIMELINES), "chunks")
     marks = F.array_join(F.transform("markers", lambda m: F.concat_ws(":", m["frame"].cast("string"), m["name"])), ",")
     lines = extract.timelines(chunks).select("path", F.col("frame_count").cast("bigint").alias("frame_count"), marks.alias("markers"))
     return extract.movies(chunks).join(lines, "path").select(_number("o_orderkey"), "min_member", "max_member", "version", "bit_depth", "frame_rate", "platform", "frame_count", "markers")

@@ -103,3 +103,30 @@ def test_containers_are_built_by_many_tasks(spark):
     rows = spark.range(0, 1000, 1, 1).selectExpr("id as p_partkey")
     parts = made.containers_of(rows, made._outcome_file, "p_partkey").groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert len(parts) == 2 * spark.sparkContext.defaultParallelism and sum(r["count"] for r in parts) == 1000
+
+
+def test_movie_tables_take_only_their_chunks_out_of_files(spark):
+    data = made._movie_file({"day": 9, "o_orderstatus": "F", "o_orderkey": 5, "o_orderpriority": "high"})
+    whole = list(container.rows_of("p", data))
+    assert list(container.rows_of("p", data, ("DRCF", "VWSC"))) == [r for r in whole if r[5] in ("DRCF", "VWSC")] and len(whole) == 8
+    cut = data[:-20]
+    assert [r[-1] for r in container.rows_of("p", cut, ("DRCF",)) if r[-1]] == [r[-1] for r in container.rows_of("p", cut) if r[-1]] != []
+    files = spark.createDataFrame([("p", bytearray(data)), ("q", bytearray(data))], "path string, content binary")
+    chunks, some = container.chunks_of(files), container.chunks_of(files, "DRCF", *extract.TIMELINES)
+    assert some.count() == 4
+    for table in (extract.movies, extract.timelines):
+        assert sorted(map(str, table(some).collect())) == sorted(map(str, table(chunks).collect()))
+
+
+def test_workers_pass_on_what_they_have_in_pieces():
+    import pyarrow as pa
+
+    from ripplemark import batches
+
+    columns = pa.array([b"x" * 100_000] * 500), pa.array(range(500))
+    parts = list(batches.pieces(columns))
+    assert max(p[0].nbytes for p in parts) <= batches.BYTES + 100_000 and [i for p in parts for i in p[1].to_pylist()] == list(range(500))
+    assert [len(p) for p in batches.gathered(range(2500), lambda r: 0)] == [1024, 1024, 452] and [len(p) for p in batches.gathered(range(5), lambda r: 3 << 20)] == [2, 2, 1]
+    big = [("p", made.members_of((writer.member(3, "a"), "STXT", bytes(1_000_000)))) for _ in range(20)]
+    rows = (row for p, d in big for row in container.rows_of(p, d))
+    assert max(sum(len(r[12] or b"") for r in piece) for piece in batches.gathered(rows, lambda r: len(r[12] or b""))) < 6_000_000
