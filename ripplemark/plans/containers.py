@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,27 +19,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def page_containers(pages: DataFrame) -> DataFrame:
+def page_containers(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
     """``(path, content)``: a container for each page, with its address and its source as text members; odd pages are little-endian."""
-    data = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html")
+    for part in pieces(tuple(batch.columns)):
+        for r in pa.record_batch(list(part), names=batch.schema.names).to_pylist():
+            big = (r["page_id"] or 0) % 2 == 0
+            address, source = _records(big)
+            chunks = [("KEY*", _keys(big)), ("CASt", address), ("STXT", writer.stxt(r["url"] or "")), ("CASt", source), ("STXT", writer.stxt(r["html"] or ""))]
+            yield f"page-{r['page_id']}", writer.container(chunks, big)
+
+
+@cache
+def _keys(big: bool) -> bytes:
+    return writer.key_table([(4, 1, "CASt"), (5, 1, "STXT"), (6, 2, "CASt"), (7, 2, "STXT")], big)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(tuple(batch.columns)):
-                paths, blobs = [], []
-                for r in pa.record_batch(list(part), names=batch.schema.names).to_pylist():
-                    big = (r["page_id"] or 0) % 2 == 0
-                    keys = writer.key_table([(4, 1, "CASt"), (5, 1, "STXT"), (6, 2, "CASt"), (7, 2, "STXT")], big)
-                    chunks = [("KEY*", keys), ("CASt", writer.member(3, "address.txt", big=big)), ("STXT", writer.stxt(r["url"] or "")), ("CASt", writer.member(3, "source.html", big=big)), ("STXT", writer.stxt(r["html"] or ""))]
-                    paths.append(f"page-{r['page_id']}")
-                    blobs.append(writer.container(chunks, big))
-                yield pa.record_batch([pa.array(paths), pa.array(blobs, pa.binary())], names=["path", "content"])
 
-    return data.mapInArrow(run, "path string, content binary")
+@cache
+def _records(big: bool) -> tuple[bytes, bytes]:
+    return writer.member(3, "address.txt", big=big), writer.member(3, "source.html", big=big)
 
 
 def _made(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = materialize(container.chunks_of(page_containers(read(spark, sf_dir, "pages"))), "chunks")
+    pages = read(spark, sf_dir, "pages").select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html")
+    chunks = materialize(container.chunks_from(pages, page_containers), "chunks")
     known = extract.structure(chunks)
     return extract.artifacts(chunks, materialize(extract.members(chunks, known), "members"), known=known)
 

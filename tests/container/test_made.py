@@ -179,3 +179,13 @@ def test_records_are_not_read_to_look_for_shared_numbers(spark):
     for i, x in enumerate(lines):
         below = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
         assert "Window [" not in x or not [y for y in lines[i:below] if "ArrowEvalPython" in y and "payload" in y]
+
+
+def test_records_and_payloads_are_given_to_one_worker(spark):
+    """What becomes of members is a condition on the decoder's result; exploding a key table infers one on the reader's."""
+    chunks = materialize(container.chunks_of(made.containers_of(spark.range(50).selectExpr("id as p_partkey"), made._outcome_file, "p_partkey")), "chunks")
+    known = extract.structure(chunks)
+    artifacts = extract.artifacts(chunks, materialize(extract.members(chunks, known), "members"), known=known)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert [plan(x).split("Initial Plan")[0].count("ArrowEvalPython") for x in (extract.key_entries(chunks), extract.statistics(artifacts))] == [1, 1]
+    assert {(r["bucket"], r["kind"]): r["n"] for r in extract.statistics(artifacts).collect()}[("selected", None)] == 40
