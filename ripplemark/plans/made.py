@@ -32,19 +32,33 @@ def _query(sql: str):
     return keep
 
 
+def _files(build: Callable[[dict], bytes], key: str) -> Callable[[pa.RecordBatch], Iterator[tuple[str, bytes]]]:
+    """A function that makes paths and containers of a batch of rows; ``key`` names them."""
+
+    def made(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
+        for part in pieces(tuple(batch.columns)):
+            yield from ((f"x-{r[key]}", build(r)) for r in pa.record_batch(list(part), names=batch.schema.names).to_pylist())
+
+    return made
+
+
 def containers_of(rows: DataFrame, build: Callable[[dict], bytes], key: str) -> DataFrame:
     """``(path, content)``: the container that ``build`` makes of each row, in as many tasks as the rows need; ``key`` names it."""
+    made = _files(build, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(tuple(batch.columns)):
-                made = ((f"x-{r[key]}", build(r)) for r in pa.record_batch(list(part), names=batch.schema.names).to_pylist())
-                for files in gathered(made, lambda f: len(f[1])):
-                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*files), (pa.string(), pa.binary()))], names=["path", "content"])
+            for files in gathered(made(batch), lambda f: len(f[1])):
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*files), (pa.string(), pa.binary()))], names=["path", "content"])
 
     return spread(rows).mapInArrow(run, "path string, content binary")
 
 
+def _chunks(rows: DataFrame, build: Callable[[dict], bytes], key: str, *wanted: str) -> DataFrame:
+    """The chunks of ``containers_of(rows, build, key)``, which are made and taken apart in one go and written."""
+    return materialize(container.chunks_from(spread(rows), _files(build, key), *wanted), "chunks")
+
+
 def members_of(*members: tuple[bytes, str | None, bytes | None], extra: list[tuple[str, bytes]] = (), big: bool = True) -> bytes:
     """A container of members ``(record, tag, content)`` with the ids 1, 2, ...; a content of None is missing from the file."""
     keys, chunks, at = [], [], 4
@@ -72,8 +86,8 @@ def _number(name: str) -> Column:
     return F.regexp_extract("path", r"x-(-?\d+)", 1).cast("bigint").alias(name)
 
 
-def _made(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    chunks = materialize(container.chunks_of(files), "chunks")
+def _made(rows: DataFrame, build: Callable[[dict], bytes], key: str) -> tuple[DataFrame, DataFrame]:
+    chunks = _chunks(rows, build, key)
     known = extract.structure(chunks)
     return chunks, extract.artifacts(chunks, materialize(extract.members(chunks, known), "members"), known=known)
 
@@ -104,7 +118,7 @@ FROM part
 """)
 def script_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as bytecode: found through the script context, named by its name table, and rendered."""
-    _, made = _made(containers_of(read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name"), _script_file, "p_partkey"))
+    _, made = _made(read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name"), _script_file, "p_partkey")
     return made.select(_number("p_partkey"), "type", "outcome", "format", "file", _text())
 
 
@@ -120,22 +134,29 @@ def script_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
         made = writer.script(_NAMES, [("label", [], [], writer.assemble(("pushint32", r["p_partkey"], 4), ("pushint16", r["p_size"], 2), ("mul",)))], [], ["price"] * 10)
         return members_of((writer.member(11, "s"), "Lscr", made), extra=[("Lnam", writer.name_table(_NAMES))])
 
-    chunks = materialize(container.chunks_of(containers_of(read(spark, sf_dir, "part").select("p_partkey", "p_size"), build, "p_partkey")), "chunks")
+    chunks = _chunks(read(spark, sf_dir, "part").select("p_partkey", "p_size"), build, "p_partkey")
     known = extract.structure(chunks)
     listed = extract.listings(chunks, materialize(extract.members(chunks, known), "members"), known)
     return listed.select(_number("p_partkey"), "listing")
 
 
+_REDS = bytes(range(256)) * 2
+_GREENS = bytes(v for i in range(256) for v in (0, i * 3 % 256, 0))
+
+
 def _colors(r: dict) -> bytes:
-    return bytes(v for i in range(256) for v in ((r["vec_id"] + i) % 256, i * 3 % 256, r["label"] * 20 % 256))
+    out, first = bytearray(_GREENS), r["vec_id"] % 256
+    out[::3] = _REDS[first : first + 256]
+    out[2::3] = bytes((r["label"] * 20 % 256,)) * 256
+    return bytes(out)
 
 
 def _image_file(r: dict) -> bytes:
     """A palette, a bitmap of four runs of 16 pixels that uses it, raw, packed or deflated, and one that borrows its palette."""
     pixels = bytes((r["vec_id"] * 7 + i // 16 * 5) % 256 for i in range(64))
     data = (pixels, payloads.pack_bits(pixels), zlib.compress(pixels))[r["vec_id"] % 3]
-    other = (writer.member(1, "copy", writer.bitmap_spec(8, 8, 8, 2)), "BITD", pixels)
-    return members_of((writer.member(4, "colors"), "CLUT", _colors(r)), (writer.member(1, "picture", writer.bitmap_spec(8, 8, 8, 1)), "BITD", data), other)
+    other = (_member(1, "copy", writer.bitmap_spec(8, 8, 8, 2)), "BITD", pixels)
+    return members_of((_member(4, "colors"), "CLUT", _colors(r)), (_member(1, "picture", writer.bitmap_spec(8, 8, 8, 1)), "BITD", data), other)
 
 
 @F.arrow_udf(T.StringType())
@@ -164,7 +185,7 @@ SELECT vec_id, 'Bitmap', 'png', file, 8, how,
 """)
 def image_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as palettes and as bitmaps in three encodings, and back to colour tables and pixels."""
-    _, made = _made(containers_of(read(spark, sf_dir, "embeddings").select("vec_id", "label"), _image_file, "vec_id"))
+    _, made = _made(read(spark, sf_dir, "embeddings").select("vec_id", "label"), _image_file, "vec_id")
     image = F.col("type") == "Bitmap"
     body = F.when(image, _pixels(F.when(image, F.col("data")).otherwise(F.lit(_BLANK)))).otherwise(F.decode("data", "UTF-8"))
     return made.select(_number("vec_id"), "type", "format", "file", F.when(image, F.col("width")).alias("width"), F.when(image, F.col("palette")).alias("palette"), body.alias("body"))
@@ -185,7 +206,7 @@ FROM (SELECT s_suppkey, printf('%02x%02x', (8000 + s_suppkey % 1000) % 256, (800
 """)
 def sound_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as sound resources, and back as WAV files."""
-    _, made = _made(containers_of(read(spark, sf_dir, "supplier").select("s_suppkey"), _sound_file, "s_suppkey"))
+    _, made = _made(read(spark, sf_dir, "supplier").select("s_suppkey"), _sound_file, "s_suppkey")
     return made.select(_number("s_suppkey"), "format", "file", F.lower(F.hex("data")).alias("body"))
 
 
@@ -211,7 +232,7 @@ SELECT p_partkey, 2, 'FilmLoop', 'json', 'film__2.json', '{{"frame_count": 3, "f
 """)
 def shape_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as shapes and as film loops whose last frames repeat the first, and back as drawings and frames."""
-    _, made = _made(containers_of(read(spark, sf_dir, "part").select("p_partkey", "p_size"), _shape_file, "p_partkey"))
+    _, made = _made(read(spark, sf_dir, "part").select("p_partkey", "p_size"), _shape_file, "p_partkey")
     return made.select(_number("p_partkey"), "id", "type", "format", "file", _text())
 
 
@@ -225,7 +246,7 @@ def _packed_file(r: dict) -> bytes:
 @_query(f"SELECT page_id, 'rifx-big' AS form, 'Text' AS type, 'extracted' AS outcome, 'page__1.html' AS file, {_normal_sql('html')} AS text FROM pages")
 def packed_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages in the compressed form with its inline stream, and back."""
-    chunks, made = _made(containers_of(read(spark, sf_dir, "pages").select("page_id", "html"), _packed_file, "page_id"))
+    chunks, made = _made(read(spark, sf_dir, "pages").select("page_id", "html"), _packed_file, "page_id")
     forms = chunks.groupBy("path").agg(F.max("form").alias("form"))
     return made.join(forms, "path").select(_number("page_id"), "form", "type", "outcome", "file", _text())
 
@@ -260,7 +281,7 @@ FROM (SELECT *, dayofyear(o_orderdate) AS d FROM orders)
 def movie_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as movie settings and timelines, and back as tables."""
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", F.dayofyear("o_orderdate").alias("day"))
-    chunks = materialize(container.chunks_of(containers_of(orders, _movie_file, "o_orderkey"), "DRCF", *extract.TIMELINES), "chunks")
+    chunks = _chunks(orders, _movie_file, "o_orderkey", "DRCF", *extract.TIMELINES)
     marks = F.array_join(F.transform("markers", lambda m: F.concat_ws(":", m["frame"].cast("string"), m["name"])), ",")
     lines = extract.timelines(chunks).select("path", F.col("frame_count").cast("bigint").alias("frame_count"), marks.alias("markers"))
     return extract.movies(chunks).join(lines, "path").select(_number("o_orderkey"), "min_member", "max_member", "version", "bit_depth", "frame_rate", "platform", "frame_count", "markers")
@@ -284,5 +305,5 @@ SELECT bucket, kind, count(*) AS n FROM b GROUP BY bucket, kind UNION ALL SELECT
 """)
 def outcome_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What becomes of members whose content is there, missing, without bytes or unreadable."""
-    _, made = _made(containers_of(read(spark, sf_dir, "part").select("p_partkey"), _outcome_file, "p_partkey"))
+    _, made = _made(read(spark, sf_dir, "part").select("p_partkey"), _outcome_file, "p_partkey")
     return extract.statistics(made)

@@ -181,6 +181,43 @@ def test_records_are_not_read_to_look_for_shared_numbers(spark):
         assert "Window [" not in x or not [y for y in lines[i:below] if "ArrowEvalPython" in y and "payload" in y]
 
 
+def test_containers_are_taken_apart_where_they_are_made(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def seen(df, label):
+        raise Seen(df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow"), label)
+
+    for module in (made, containers):
+        monkeypatch.setattr(module, "materialize", seen)
+    for name, query in (made.QUERIES | containers.QUERIES).items():
+        if name != "payload_round_trip":
+            with pytest.raises(Seen) as said:
+                query(spark, "/root/testdata/sf0.001")
+            assert said.value.args == (1, "chunks"), name
+    rows = spark.range(60).selectExpr("id as p_partkey")
+    one, two = container.chunks_from(rows, made._files(made._outcome_file, "p_partkey")), container.chunks_of(made.containers_of(rows, made._outcome_file, "p_partkey"))
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect())) and one.select("path").distinct().count() == 60
+
+
+def test_palette_members_are_looked_up_once(spark):
+    files = made.containers_of(spark.range(5).selectExpr("id as vec_id", "1 as label"), made._image_file, "vec_id")
+    chunks = materialize(container.chunks_of(files), "chunks")
+    found = materialize(extract.members(chunks), "members")
+    got = extract.resolved_palettes(chunks, found)
+    assert "CLUT" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["id"], r["palette_ref"], r["resolution"]) for r in got.collect()} == {(2, 1, "direct"), (3, 1, "borrowed")} and got.count() == 10
+
+
+def test_colour_tables_are_written_line_by_line():
+    for n in (-3, 0, 300):
+        want = [((n + i) % 256, i * 3 % 256, 40) for i in range(256)]
+        data = made._colors({"vec_id": n, "label": 2})
+        assert data == bytes(v for c in want for v in c)
+        assert payloads.jasc(payloads.palette(data)).decode().split("\r\n") == ["JASC-PAL", "0100", "256", *("%d %d %d" % c for c in want), ""]
+    assert payloads.jasc(payloads.MAC[:2]) == b"JASC-PAL\r\n0100\r\n256\r\n255 255 255\r\n255 255 204\r\n" + b"0 0 0\r\n" * 254
+
+
 def test_records_and_payloads_are_given_to_one_worker(spark):
     """What becomes of members is a condition on the decoder's result; exploding a key table infers one on the reader's."""
     chunks = materialize(container.chunks_of(made.containers_of(spark.range(50).selectExpr("id as p_partkey"), made._outcome_file, "p_partkey")), "chunks")
